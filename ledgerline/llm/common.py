@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.session import visible
+
 #: One or more characters that are none of space, tab, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Side tables larger than this are joined by shuffle instead of broadcast.
@@ -61,7 +63,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return visible(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:

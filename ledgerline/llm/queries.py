@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import simhash
+from ledgerline.llm import packing, quality, simhash, toxicity
+
+
+def pipeline(spark, sf_dir):
+    """The rows of corpus_pipeline.run()."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op7_quality": quality.op7_quality,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
