@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import packing, quality, simhash, toxicity
+from ledgerline.llm import bpe, dac, ledger, packing, quality, simhash, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -16,8 +16,11 @@ QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op6_tokens": dac.op6_tokens,
     "op7_quality": quality.op7_quality,
+    "op8_ledger": ledger.op8_ledger,
+    "op10_bpe": bpe.op10_bpe,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_ledger": ledger.ORACLE}
