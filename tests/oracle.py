@@ -30,5 +30,5 @@ def same(spark, query, sql, sf_dir):
     mine, theirs = rows_of(frame.columns, frame.collect()), rows_of(names, found.fetchall())
     assert len(mine) == len(theirs)
     for a, b in zip(mine, theirs, strict=True):
-        assert a == b
+        assert a == b, (sorted(names), a, b)
     return len(mine)
