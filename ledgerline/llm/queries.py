@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, dac, ledger, packing, quality, simhash, toxicity
+from ledgerline.llm import bpe, chat, dac, ledger, neardup, packing, quality, simhash, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -15,12 +15,14 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_embeddings": neardup.op4_embeddings,
     "op5_simhash": simhash.op5_simhash,
     "op6_tokens": dac.op6_tokens,
     "op7_quality": quality.op7_quality,
     "op8_ledger": ledger.op8_ledger,
+    "op9_chat": chat.op9_chat,
     "op10_bpe": bpe.op10_bpe,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op8_ledger": ledger.ORACLE}
+ORACLES: dict[str, str] = {"op8_ledger": ledger.ORACLE, "op9_chat": chat.ORACLE}
