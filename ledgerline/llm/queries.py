@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, chat, dac, ledger, neardup, packing, quality, simhash, toxicity
+from ledgerline.llm import bpe, chat, dac, ledger, neardup, packing, quality, simhash, toxicity, wrappers
 
 
 def pipeline(spark, sf_dir):
@@ -14,6 +14,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_wrappers": wrappers.op2_wrappers,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_embeddings": neardup.op4_embeddings,
     "op5_simhash": simhash.op5_simhash,
