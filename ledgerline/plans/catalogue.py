@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ledgerline.plans import diffs
+
+QUERIES = {**diffs.QUERIES}
+ORACLES = {**diffs.ORACLES}
