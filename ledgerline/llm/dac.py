@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chunks import ChunkEncoder
+from ledgerline.llm.chunks import LONGEST, MEMORY, ChunkEncoder
 from ledgerline.llm.common import small_or_shuffled, stored, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -137,7 +138,56 @@ def parts_encoder(path: str):
     def run(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(texts), 10_000):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+        return out
+
+    return run
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte, by the bytes' Latin-1 characters: printable ones stay, the others follow from 256 on."""
+    stay = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in stay]
+    return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def words_encoder(path: str):
+    """Ids of words that stand after a space. The library's model takes a word of letters as one piece, and a tail of marks as another; all else goes through its whole tokenizer."""
+    whole, tokenize = parts_encoder(path), load(path).model.tokenize
+    letters, marks = _byte_letters(), "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    cores: dict[str, bytes] = {}
+    tails: dict[str, bytes] = {}
+
+    def piece(text: str) -> bytes:
+        if not text.isascii():
+            text = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(text)]).tobytes()
+
+    def run(words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        if len(cores) > MEMORY // 2:
+            cores.clear()
+        if len(tails) > MEMORY // 50:
+            tails.clear()
+        for word in words:
+            core = word if word.isalpha() else word.rstrip(marks)
+            if not core.isalpha():
+                out.append(None)
+                continue
+            code = cores.get(core)
+            if code is None:
+                code = array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() if core.isascii() else piece(" " + core)
+                if len(core) <= LONGEST:
+                    cores[core] = code
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                if tail not in tails:
+                    tails[tail] = piece(tail)
+                code += tails[tail]
+            out.append(code)
+        rest = [i for i, code in enumerate(out) if code is None]
+        for i, code in zip(rest, whole([" " + words[i] for i in rest]), strict=True):
+            out[i] = code
         return out
 
     return run
@@ -151,7 +201,7 @@ def shards(docs: DataFrame, path: str, *, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder, last = ChunkEncoder(parts_encoder(path)), struct.pack("<I", end)
+        encoder, last = ChunkEncoder(parts_encoder(path), words_encoder(path)), struct.pack("<I", end)
         ids: list[int | None] = []
         codes: list[bytes] = []
         size = 0
