@@ -148,8 +148,8 @@ def resumed(commits: DataFrame, kept: DataFrame) -> DataFrame:
 def down_to_floor(commits: DataFrame, floor: str) -> DataFrame:
     """Commits newest first (source, position, sha, ...) until the one whose sha begins with ``floor``, oldest first; an error if it isn't there."""
     ends = commits.groupBy("source").agg(F.min(F.when(F.col("sha").startswith(floor), F.col("position"))).alias("end"))
-    ends = ends.withColumn("ok", F.assert_true(F.col("end").isNotNull(), F.lit("the floor commit was not reached")))
-    return commits.join(ends, "source").where(F.col("ok").isNull() & (F.col("position") <= F.col("end"))).select(*commits.columns).orderBy("source", F.desc("position"))
+    end = F.coalesce("end", F.raise_error(F.lit("the floor commit was not reached")).cast("long"))
+    return commits.join(ends, "source").where(F.col("position") <= end).select(*commits.columns).orderBy("source", F.desc("position"))
 
 
 def day_versions(commits: DataFrame, taken: DataFrame) -> DataFrame:

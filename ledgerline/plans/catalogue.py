@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import diffs
+from ledgerline.plans import diffs, reports
 
-QUERIES = {**diffs.QUERIES}
-ORACLES = {**diffs.ORACLES}
+QUERIES = {**diffs.QUERIES, **reports.QUERIES}
+ORACLES = {**diffs.ORACLES, **reports.ORACLES}

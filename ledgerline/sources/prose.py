@@ -39,13 +39,12 @@ def sections(files: DataFrame) -> DataFrame:
 
     def section(piece: Column) -> Column:
         title = normal(F.regexp_extract(piece, head, 2))
-        body = F.regexp_replace(F.substring_index(F.concat(piece, F.lit("\n")), "\n", -1), "$^", "")
         body = F.regexp_replace(F.regexp_replace(piece, r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
         return F.struct(slug(title).alias("base"), title.alias("title"), F.length(F.regexp_extract(piece, head, 1)).alias("depth"), body.alias("body"))
 
     rows = files.select("path", status(F.col("text")).alias("status"), F.transform(pieces, section).alias("s"))
     earlier = lambda x, i: F.size(F.filter(F.slice("s", F.lit(1), i), lambda y: y["base"] == x["base"]))
-    numbered = F.transform("s", lambda x, i: F.struct(x, earlier(x, i).alias("seen")))
+    numbered = F.transform("s", lambda x, i: F.struct(x.alias("x"), earlier(x, i).alias("seen")))
     rows = rows.select("path", "status", F.posexplode(numbered).alias("ordinal", "x"))
     base, seen = F.col("x.x.base"), F.col("x.seen")
     anchor = F.when(seen == 0, base).otherwise(F.concat(base, F.lit("-"), seen.cast("string")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -119,8 +120,15 @@ def groups(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
 
+        class Core(yaml.SafeLoader):
+            """Scalars as YAML 1.2 has them: on, off, yes, no and dates are strings."""
+
+        kept = lambda tag: tag not in ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")
+        Core.yaml_implicit_resolvers = {k: [x for x in v if kept(x[0])] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+        Core.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+
         for batch in batches:
-            rows = [g for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for g in groups_of(path, yaml.safe_load(content))]
+            rows = [g for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for g in groups_of(path, yaml.load(content, Core))]
             yield pa.RecordBatch.from_pylist(rows, _GROUP)
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, GROUP)
