@@ -95,7 +95,7 @@ SELECT source, position, CASE WHEN n = 1 THEN day ELSE day || '.' || n END AS ve
 
 def resumed(spark, sf):
     rows = X.events(spark, sf).selectExpr("source", "ordinal AS position", "tag", "published_at")
-    kept = rows.groupBy("source").agg(F.percentile_disc(0.5, "position").cast("long").alias("position")) if False else rows.where("position % 97 = 5").groupBy("source").agg(F.max("position").alias("position"))
+    kept = rows.where("position % 97 = 5").groupBy("source").agg(F.max("position").alias("position"))
     kept = kept.join(rows, ["source", "position"]).select("source", F.when(F.col("source") == "view", "lost").otherwise(F.col("tag")).alias("tag"), "published_at")
     return catalog.resumed(rows, kept).select("source", "position")
 
@@ -207,8 +207,7 @@ def attribute_page(spark, sf):
 
 
 def requirement_page(spark, sf):
-    rows = lookup.matching_requirements(X.requirements(spark, sf), "er", level="that", section="SRC1") if False else X.requirements(spark, sf)
-    rows = lookup.matching_requirements(rows, "ER", section="SRC1").where("level = 'that'")
+    rows = lookup.matching_requirements(X.requirements(spark, sf), "ER", section="SRC1").where("level = 'that'")
     return lookup.page(rows.withColumn("ordinal", F.struct("section", "ordinal", "id")), None, lookup.REQUIREMENTS_PAGE).select("id", "section", "level")
 
 
