@@ -1,14 +1,13 @@
-"""Helpers that several operators share: work folder, stored intermediate tables, fold rule."""
+"""Helpers that several operators share: stored intermediate tables, checked broadcasts, fold rule."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import visible
+from ledgerline.functions.session import drop_stored, stored, visible, work_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD", "drop_stored", "fold", "sampled", "small_or_shuffled", "stored", "table", "visible", "work_dir"]
 
 #: One or more characters that are none of space, tab, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,42 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    A session without ``spark.checkpoint.dir`` gets a temporary one in local mode (tests) and an
-    error elsewhere, since no folder of one machine is visible to the others.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage ends at those files."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._stored_path = path
-    return back
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` that nothing reads any more."""
-    path = getattr(df, "_stored_path", None)
-    if path:
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
-
-
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has ``limit`` rows at most, else as it is (shuffle join)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

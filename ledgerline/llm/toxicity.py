@@ -157,14 +157,14 @@ def quoted(tokens: list[str], at: int) -> float:
 
 
 def features(hits: list[tuple[str, int, float]]) -> list[float]:
-    """Constant; exact, misspelled and quoted hits, each as log(1 + their sum)."""
-    exact = sum(1 - q for _, d, q in hits if d == 0)
-    fuzzy = sum(1 - q for _, d, q in hits if d > 0)
-    return [1.0, np.log1p(exact), np.log1p(fuzzy), np.log1p(sum(q for _, _, q in hits))]
+    """Constant; abusive hits and quoted hits, each as log(1 + their sum). A misspelled hit counts MISSPELLED of an exact one."""
+    abuse = sum((1 - q) * (MISSPELLED if d else 1.0) for _, d, q in hits)
+    return [1.0, np.log1p(abuse), np.log1p(sum(q for _, _, q in hits))]
 
 
-#: What is believed before any labelled text: single exact or misspelled hits suffice, quoted ones don't.
-PRIOR = np.array([-4.0, 8.0, 7.0, 1.5])
+MISSPELLED = 0.9
+#: What is believed before any labelled text: a single abusive hit suffices, a quoted one doesn't.
+PRIOR = np.array([-4.0, 8.0, 1.5])
 
 
 def _forms(text: str) -> set[str]:
