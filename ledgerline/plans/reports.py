@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as TX
-from ledgerline.operators import catalog, closure, lookup, registry, search, topics
+from ledgerline.operators import catalog, closure, counts, lookup, registry, search, topics
 from ledgerline.plans import fixtures as X
 
 # versions
@@ -402,7 +402,64 @@ def _ranks_sql(*terms: str) -> str:
     return f"WITH {_INDEX}, g AS (SELECT *, {seg} AS seg FROM idx), h AS (SELECT type, id, url, meta, [{', '.join(map(_rank, terms))}] AS ranks FROM g), q AS (SELECT *, list_max(ranks) AS rank FROM h WHERE len(list_filter(ranks, lambda r: r IS NULL)) = 0)"
 
 
+# counts
+
+
+def registry_counts(spark, sf):
+    old, new = _two_registries(spark, sf)
+    return counts.registry_counts(topics.merged_registries(old, new))
+
+
+def registry_filter(spark, sf):
+    old, new = _two_registries(spark, sf)
+    rows = topics.with_topic(topics.merged_registries(old, new), _topics(spark, sf))
+    return counts.filtered_registry(rows, status="stable", slug="odd", text="E").select("id", "registry")
+
+
+def namespace_rows(spark, sf):
+    return counts.by_group(X.registry(spark, sf, 2), "namespace")
+
+
+def cumulative_breaking(spark, sf):
+    return counts.cumulative_breaking(X.events(spark, sf))
+
+
+def source_cards(spark, sf):
+    return counts.source_cards(_days(spark, sf), X.events(spark, sf))
+
+
+def source_totals(spark, sf):
+    return counts.source_totals(_strict(spark, sf).withColumn("source", F.substring("path", 1, 4)))
+
+
+def rules_about(spark, sf):
+    return counts.rules_about(_strict(spark, sf), "and").select("id", "section")
+
+
+def shallow_renames(spark, sf):
+    rows = X.registry(spark, sf, 2).withColumn("id", F.when(F.col("ordinal") % 3 == 0, F.concat("id", F.lit(".deep"))).otherwise(F.col("id")))
+    return counts.shallow_renames(rows, "standard", 12)
+
+
+def upgrade_span(spark, sf):
+    return counts.upgrade_span(_days(spark, sf))
+
+
+def confirmed_names(spark, sf):
+    return counts.confirmed(X.registry(spark, sf, 1).select("id"), X.registry(spark, sf, 2))
+
+
 QUERIES = {
+    "registry_counts": registry_counts,
+    "registry_filter": registry_filter,
+    "namespace_rows": namespace_rows,
+    "cumulative_breaking": cumulative_breaking,
+    "source_cards": source_cards,
+    "source_totals": source_totals,
+    "rules_about": rules_about,
+    "shallow_renames": shallow_renames,
+    "upgrade_span": upgrade_span,
+    "confirmed_names": confirmed_names,
     "version_pairs": version_pairs,
     "consecutive_pairs": consecutive_pairs,
     "version_neighbours": neighbours,
@@ -444,7 +501,18 @@ QUERIES = {
     "search_per_type_counts": per_type,
     "search_palette": palette,
 }
+_ALL = f"WITH o AS ({X.registry_sql(2)}), w AS ({_NEW}), m AS (SELECT *, 'old' AS registry FROM o WHERE id NOT IN (SELECT id FROM w WHERE reason IS NULL) UNION ALL SELECT *, 'new' FROM w)"
 ORACLES = {
+    "registry_counts": f'{_ALL} SELECT count(*) AS "all", count(*) FILTER (reason IS NULL AND stability = \'stable\') AS stable, count(*) FILTER (reason IS NOT NULL) AS deprecated, count(*) FILTER (registry = \'new\') AS new FROM m',
+    "registry_filter": f"{_ALL} SELECT id, registry FROM m JOIN ({_TOPICS}) t USING (namespace) WHERE reason IS NULL AND stability = 'stable' AND slug = 'odd' AND contains(lower(id || ' ' || brief), 'e')",
+    "namespace_rows": f"SELECT namespace, count(*) AS n, min(id) AS first, max(id) AS last FROM ({X.registry_sql(2)}) GROUP BY namespace",
+    "cumulative_breaking": f"SELECT source, count(*) FILTER (severity = 'breaking') AS breaking FROM ({X.EVENTS_SQL}) GROUP BY source",
+    "source_cards": f"SELECT source, versions, oldest, latest, breaking FROM (SELECT source, count(*) AS versions, min(version) AS oldest, max(version) AS latest FROM ({_DAYS}) GROUP BY source) JOIN (SELECT source, count(*) FILTER (severity = 'breaking') AS breaking FROM ({X.EVENTS_SQL}) GROUP BY source) USING (source)",
+    "source_totals": f"WITH {_R} SELECT left(path, 4) AS source, count(*) AS requirements, sum(must)::bigint AS binding, count(DISTINCT path) AS documents FROM r GROUP BY ALL",
+    "rules_about": f"WITH {_R} SELECT id, section FROM r WHERE must = 1 AND regexp_matches(text, '(?i)\\band\\b')",
+    "shallow_renames": f"SELECT * FROM (SELECT CASE WHEN ordinal % 3 = 0 THEN id || '.deep' ELSE id END AS id, renamed_to, CASE WHEN ordinal % 3 = 0 THEN 4 ELSE 3 END AS depth FROM ({X.registry_sql(2)}) WHERE namespace = 'standard' AND renamed_to IS NOT NULL) ORDER BY depth, id LIMIT 12",
+    "upgrade_span": f"SELECT source, min(version) AS from_version, max(version) AS to_version FROM ({_DAYS}) GROUP BY source HAVING min(version) <> max(version)",
+    "confirmed_names": f"SELECT id FROM ({X.registry_sql(1)}) WHERE id IN (SELECT id FROM ({X.registry_sql(2)}))",
     "version_pairs": f"WITH d AS ({_DAYS}) SELECT a.source, a.version AS from_version, b.version AS to_version FROM d a JOIN d b ON a.source = b.source AND a.version < b.version",
     "consecutive_pairs": f"SELECT * FROM (SELECT source, lag(version) OVER (PARTITION BY source ORDER BY version) AS from_version, version AS to_version FROM ({_DAYS})) WHERE from_version IS NOT NULL",
     "version_neighbours": f"SELECT source, version, lag(version) OVER w AS previous, lead(version) OVER w AS next FROM ({_DAYS}) WINDOW w AS (PARTITION BY source ORDER BY version)",
