@@ -74,12 +74,12 @@ class ChunkEncoder:
         codes = self.encode_parts([words[i] for i in place[first[:-1]].tolist()])
         place[first[:-1]] = len(words) + np.arange(len(texts))
         table = [*self._words(words), *codes]
-        size = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, table), dtype=np.int32, count=len(table)) // 4  # a group has far fewer than 2^31 ids
+        start = np.cumsum(size, dtype=np.int32) - size
         ids = np.frombuffer(b"".join(table), dtype="<u4")
         n = size[place]
-        end = np.cumsum(n)
-        out = ids[np.repeat(start[place] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        end = np.cumsum(n, dtype=np.int32)
+        out = ids[np.repeat(start[place] - end + n, n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
         bound = np.r_[0, end][first]
         return [out[i:j].tobytes() for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 

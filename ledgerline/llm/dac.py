@@ -37,13 +37,12 @@ _made: dict[str, object] = {}
 
 def _level(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Chunks, bitmap and rank directory of one level; the values of the next."""
-    more = values >> WIDTH
-    on = more > 0
+    on = values >= 1 << WIDTH
     bitmap = np.packbits(on, bitorder="little")
-    counts = np.add.reduceat(on.astype(np.uint32), np.arange(0, len(on), BLOCK)) if len(on) else np.zeros(0, np.uint32)
-    ranks = np.r_[0, np.cumsum(counts)[:-1]].astype("<u4") if len(on) else counts
-    body = struct.pack("<Q", len(values)) + (values & (1 << WIDTH) - 1).astype(np.uint8).tobytes() + bitmap.tobytes() + ranks.tobytes()
-    return body, more[on]
+    counts = np.add.reduceat(np.bitwise_count(bitmap), np.arange(0, len(bitmap), BLOCK // 8), dtype=np.uint32) if len(on) else np.zeros(0, np.uint32)
+    ranks = (np.cumsum(counts) - counts).astype("<u4")
+    body = struct.pack("<Q", len(values)) + values.astype(np.uint8).tobytes() + bitmap.tobytes() + ranks.tobytes()
+    return body, values[on] >> WIDTH
 
 
 def encode_shard(doc_ids: Sequence[int | None], ids: Sequence[bytes]) -> bytes:
@@ -107,14 +106,16 @@ class Shard:
         """Ids start to end of the shard, with one rank query a level."""
         if start >= end:
             return np.zeros(0, dtype="<u4")
-        value, where = np.zeros(end - start, dtype="<u4"), np.arange(end - start)
+        value, where = self.levels[0][0][start:end].astype("<u4"), None
         for level, (chunks, bitmap, _) in enumerate(self.levels):
-            value[where] |= chunks[start:end].astype(np.uint32) << np.uint32(WIDTH * level)
+            if level:
+                value[where] |= chunks[start:end].astype(np.uint32) << np.uint32(WIDTH * level)
             on = np.unpackbits(bitmap[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :][: end - start].astype(bool)
             if not on.any():
                 break
             start = self.rank(level, start)
-            end, where = start + int(on.sum()), where[on]
+            where = np.flatnonzero(on) if where is None else where[on]
+            end = start + len(where)
         return value
 
     def document(self, k: int) -> np.ndarray:
