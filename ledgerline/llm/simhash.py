@@ -253,9 +253,12 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its group's component_id, one row for each such id.
 
-    Rows with a null doc_id are kept: without an id no group can name them.
+    Groups are those of ``nearcopies``: exact similarity of five-word shingles, not this module's
+    query constants. Rows with a null doc_id are kept: without an id no group can name them.
     """
-    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    from ledgerline.llm import nearcopies
+
+    kept = nearcopies.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return known.unionByName(docs.where("doc_id IS NULL"))
 
