@@ -342,9 +342,9 @@ _ANCHORS = "SELECT page_id, CASE WHEN s = 0 THEN base ELSE base || '-' || s END
 
 def _index(spark, sf):
     attributes = search.attribute_entries(X.registry(spark, sf, 2).withColumn("brief", F.concat("brief", F.lit(" `code` and [label](http://x.y)"))))
-    metrics = search.metric_entries(X.registry(spark, sf, 2).where("ordinal % 5 = 0").withColumn("id", F.concat(F.lit("metric."), "id")))
+    metrics = search.metric_entries(X.registry(spark, sf, 2).withColumn("id", F.concat(F.lit("metric."), "id")))
     nations = search.topic_entries(X.read(spark, sf, "nation").selectExpr("n_name AS title", "concat('Nation ', n_name) AS blurb", "lower(n_name) AS slug", "array(n_name) AS namespaces"))
-    messages = search.message_entries(X.messages(spark, sf, 2).where("ordinal % 10 = 0"))
+    messages = search.message_entries(X.messages(spark, sf, 2))
     return search.index(attributes, metrics, nations, messages)
 
 

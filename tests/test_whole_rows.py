@@ -1,0 +1,24 @@
+"""Report queries against their SQL without the row filters that it has."""
+
+import pytest
+
+from ledgerline.plans import catalogue
+from tests.oracle import same
+
+INDEX = [" WHERE ordinal % 5 = 0", " WHERE ordinal % 10 = 0"]
+CUTS = {name: INDEX for name in ["search_index_union", "search_ranked", "search_top", "search_all_terms", "search_per_type_counts"]}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_query_covers_all_rows(spark, sf, name):
+    sql = catalogue.ORACLES[name]
+    for cut in CUTS[name]:
+        sql = sql.replace(cut, "")
+    assert "ordinal % 5 = 0" not in sql and same(spark, catalogue.QUERIES[name], sql, sf)
+
+
+def test_index_holds_every_metric_and_message(spark, sf):
+    from ledgerline.plans import fixtures as X
+
+    counts = {r.type: r["count"] for r in catalogue.QUERIES["search_index_union"](spark, sf).groupBy("type").count().collect()}
+    assert counts["metric"] == X.registry(spark, sf, 2).count() and counts["otlp"] == X.messages(spark, sf, 2).count()
