@@ -213,7 +213,7 @@ def requirement_page(spark, sf):
 
 def message_lookup(spark, sf):
     found = X.messages(spark, sf, 2)
-    wanted = found.where("ordinal % 50 = 0").select(F.split_part("name", F.lit("."), F.lit(-1)).alias("wanted")).unionByName(found.where("ordinal % 70 = 0").select(F.col("name").alias("wanted"))).unionByName(found.where("ordinal % 90 = 0").select(F.concat(F.lit("no"), "name").alias("wanted")))
+    wanted = found.select(F.split_part("name", F.lit("."), F.lit(-1)).alias("wanted")).unionByName(found.select(F.col("name").alias("wanted"))).unionByName(found.select(F.concat(F.lit("no"), "name").alias("wanted")))
     return lookup.messages_named(wanted, found)
 
 
@@ -261,7 +261,7 @@ _TOPICS = "SELECT DISTINCT lower(p_type) AS namespace, CASE WHEN length(p_type)
 
 
 def _signals(spark, sf):
-    return X.registry(spark, sf, 2).where("ordinal % 3 = 0").withColumn("kind", F.element_at(F.array(*map(F.lit, ["metric", "span", "event", "entity"])), (F.col("ordinal") % 4 + 1).cast("int"))).withColumn("id", F.when(F.col("kind") == "metric", F.col("id")).otherwise(F.concat("kind", F.lit("."), "id")))
+    return X.registry(spark, sf, 2).withColumn("kind", F.element_at(F.array(*map(F.lit, ["metric", "span", "event", "entity"])), (F.col("ordinal") % 4 + 1).cast("int"))).withColumn("id", F.when(F.col("kind") == "metric", F.col("id")).otherwise(F.concat("kind", F.lit("."), "id")))
 
 
 _SIGNALS = f"SELECT *, CASE ordinal % 4 WHEN 0 THEN 'metric' WHEN 1 THEN 'span' WHEN 2 THEN 'event' ELSE 'entity' END AS kind FROM ({X.registry_sql(2)}) WHERE ordinal % 3 = 0"
@@ -316,7 +316,7 @@ _TOPIC_REQUIREMENTS = f"WITH {_R} SELECT id, section, CASE level WHEN 'of the' T
 
 def signal_attributes(spark, sf):
     edges = X.usage(spark, sf, 1).withColumn("group_id", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("span."), "group_id")).otherwise(F.col("group_id")))
-    rows = edges.select(F.col("signal").alias("id"), F.col("id").alias("attribute"), "part").where("part % 10 = 1").groupBy("id").agg(F.array_distinct(F.collect_list("attribute")).alias("attributes")).withColumn("kind", F.lit("span"))
+    rows = edges.select(F.col("signal").alias("id"), F.col("id").alias("attribute")).groupBy("id").agg(F.array_distinct(F.collect_list("attribute")).alias("attributes")).withColumn("kind", F.lit("span"))
     return topics.signal_attributes(rows, edges)
 
 
