@@ -32,6 +32,8 @@ SALTS = 16
 PERIOD, CELLS = 4, 250_000
 #: Pages after which text that never changed counts as furniture, where nothing names the article.
 CONSTANT_PAGES = 3
+#: Class names of an element that alignment reads beside those that tell a role.
+PLAIN = 4
 
 # Element names by what they do in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +56,8 @@ HEADER = frozenset("header topbar".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations teaser promo sponsored ad".split())
 LAYOUTS = frozenset("sidebar sidenav nav navbar menu navigation ad ads widget search paywall subscription share social comments".split())
 ARTICLE = frozenset("content article post entry story articlebody maincontent postcontent entrycontent".split())
+#: Words that decide an element's role; a class name with one of them is read whatever its place.
+TELLING = FURNITURE | HEADER | COMMENTS | LAYOUTS | ARTICLE
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -78,12 +82,21 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+@lru_cache(50_000)
+def telling(name: str) -> bool:
+    """Does a class name have a word that names furniture, a heading or the article?"""
+    return bool(_words("." + name) & TELLING)
+
+
 def signature(tag: str, attributes: str) -> str:
-    """Tag with the names that class, id and role give it; numbers in ids, and long ones in classes, don't count. "!" marks a hidden element."""
+    """Tag with the names that class, id and role give it: of classes all that tell a role and the first few others; numbers in ids, and long ones in classes, don't count. "!" marks a hidden element."""
     if not _TELLING.search(attributes):
         return tag
     found = _attributes(attributes)
-    names = [re.sub(r"\d{3,}", "0", x) for x in found.get("class", "").split()[:4]]
+    names = [re.sub(r"\d{3,}", "0", x) for x in found.get("class", "").split()]
+    if len(names) > PLAIN:
+        plain = [x for x in names if not telling(x)]
+        names = [x for x in names if telling(x)] + plain[:PLAIN]
     out = tag + "".join(f".{x}" for x in sorted(names))
     if "id" in found:
         out += "#" + re.sub(r"\d+", "0", found["id"].strip())

@@ -111,3 +111,10 @@ def test_unnamed_hosts_by_statistics(spark, monkeypatch):
 def test_entities_are_decoded_once():
     assert alone("<article>&amp;lt; &#233;&#x4e16;&copy</article>") == html.unescape("&lt;").replace("<", "&lt;") + " é世©"
     assert re.search("é", alone("<article>&eacute;</article>"))
+
+
+def test_late_class_names_tell_roles():
+    source = '<div class="page"><div class="row mt-3 px-2 mb-4 entry-content"><p>Long text of the story.</p><div class="m-4 p-2 border rounded advert">Buy now</div><p>More of it.</p></div><div>Other</div></div>'
+    assert alone(source) == "Long text of the story.\nMore of it."
+    many = W.signature("div", ' class="a1 b2 c3 d4 e5 f6 advert sidebar"')
+    assert many == W.signature("div", ' class="advert sidebar a1 b2 c3 d4"') and W.signature("div", ' class="b a d c"') == "div.a.b.c.d"
