@@ -251,16 +251,27 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its group's component_id, one row for each such id.
+    """One row of each group of near copies, whole and with the columns of ``docs``.
 
     Groups are those of ``nearcopies``: exact similarity of five-word shingles, not this module's
-    query constants. Rows with a null doc_id are kept: without an id no group can name them.
+    query constants. Which row stays is decided row by row, by id and text: the smallest doc_id,
+    then the smallest hash of the text, a row without an id only where no row of the group has one.
+    Of rows equal in both the one with the least hash of its JSON stays. Rows of one doc_id with
+    texts that aren't alike are in different groups, and each group keeps its own.
     """
     from ledgerline.llm import nearcopies
 
-    kept = nearcopies.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    kept = stored(nearcopies.first_rows(nearcopies.rooted(docs)), "kept")
+    mark = "_" * (1 + max(map(len, docs.columns)))  # begins no column of docs
+    keys = kept.select(F.col("doc_id").alias(mark + "id"), F.col("text_hash").alias(mark + "hash"), F.col("n").alias(mark + "n"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark + "id")) & (nearcopies.text_hash("text") == F.col(mark + "hash"))
+    found = docs.join(small_or_shuffled(keys, BROADCAST_ROWS), same)
+    single = found.where(F.col(mark + "n") == 1).select(docs.columns)
+    if kept.where("n > 1").isEmpty():
+        return single
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = found.where(F.col(mark + "n") > 1).groupBy(mark + "id", mark + "hash").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def op5_simhash(spark, sf_dir):

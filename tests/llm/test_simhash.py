@@ -91,7 +91,28 @@ def test_empty_and_dedup(spark):
     docs = spark.createDataFrame([(2, "a b c d", 1), (1, "A b c d", 2), (1, "A b c d", 2), (None, "a b c d", 3), (4, "other words here now", 4)], "doc_id long, text string, component_id int")
     kept = S.dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4]
+    assert sorted((r.doc_id, r.component_id) for r in kept.collect()) == [(1, 2), (4, 4)]
+
+
+def test_dedup_keeps_every_unique_text(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g"
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (None, b), (9, c + " h i j k l m n o p"), (9, c + " h i j k l m n o p"), (9, "x")]
+    for seed in range(3):
+        docs = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string").repartition(4)
+        got = sorted(((r.doc_id, r.text) for r in S.dedup(docs).collect()), key=repr)
+        assert got == sorted([(3, a), (7, b), (None, c), (9, c + " h i j k l m n o p"), (9, "x")], key=repr)
+
+
+def test_dedup_equals_brute_force_with_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"t{rng.randrange(30)}" for _ in range(12)) for _ in range(20)] + [None, ""]
+    rows = [(rng.choice([None, *range(25)]), rng.choice(texts)) for _ in range(150)]
+    got = sorted(((r.doc_id, r.text or "") for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=repr)
+    least = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        least[t or ""] = min(least.get(t or "", (True, 0)), key)
+    assert got == sorted(((None if without else i, t) for t, (without, i) in least.items()), key=repr)
 
 
 def test_components_of_long_chain(spark):
