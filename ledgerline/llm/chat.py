@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprint, with DataFrame functions only.
 
-A record's nested field paths, as far as any known layout has them, are hashed; the hash selects a
-declarative mapping that turns the record into canonical turns (conv_id, turn, role, text). A table
-of columns is fingerprinted by its schema, JSON records one by one.
+A record's nested field paths, as far as a layout has them, are hashed; a hash that is the layout's
+own selects its declarative mapping, which turns the record into canonical turns (conv_id, turn,
+role, text). Other paths, such as extra columns named like another layout's, change nothing: of the
+layouts that fit, the one with the most paths is taken, and of equally many the first in LAYOUTS. A
+table of columns is fingerprinted by its schema, JSON records one by one.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts a backslash is
 put between ``<`` (with the backslashes after it) and ``|``, so no control string can come from a
@@ -12,6 +14,7 @@ text, and taking one backslash out again restores it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,15 +59,21 @@ LAYOUTS = (
     Layout("prompt", "conv_id", turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("system prompt", "conv_id", turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
 )
-KNOWN = sorted(frozenset().union(*(x.paths() for x in LAYOUTS)))
 
 
-def fingerprint(paths) -> str:
-    """Hash of the known ones among nested field paths; others, such as extra columns, play no part."""
-    return hashlib.sha256(",".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+def fingerprint(paths: Iterable[str]) -> str:
+    """Hash of nested field paths, whatever their order."""
+    return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()
 
 
 BY_PRINT = {fingerprint(x.paths()): x for x in LAYOUTS}
+#: Prints in the order in which they are tried: most paths first, then as in LAYOUTS.
+TRIED = sorted(BY_PRINT, key=lambda p: -len(BY_PRINT[p].paths()))
+
+
+def fitting(paths: set[str]) -> Layout | None:
+    """The layout for a record with these paths."""
+    return next((BY_PRINT[p] for p in TRIED if fingerprint(BY_PRINT[p].paths() & paths) == p), None)
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
@@ -95,7 +104,7 @@ def _renamed(layout: Layout, role: Column) -> Column:
 
 def canonical(df: DataFrame) -> DataFrame:
     """Turns of a table in one of the layouts, chosen by the schema's fingerprint; ValueError for others."""
-    layout = BY_PRINT.get(fingerprint(schema_paths(df.schema)))
+    layout = fitting(schema_paths(df.schema))
     if layout is None:
         raise ValueError(f"no layout has the paths {sorted(schema_paths(df.schema))}")
     ident = F.col(layout.ident).cast("long").alias("conv_id")
@@ -106,18 +115,28 @@ def canonical(df: DataFrame) -> DataFrame:
 
 
 def record_print(record: Column) -> Column:
-    """The fingerprint of a JSON record, as ``fingerprint`` gives it; lists count by their first element."""
-    present = []
-    for path in KNOWN:
+    """The print of the layout that a JSON record is in, chosen as ``fitting`` does; null for records of none, of empty lists and for broken ones.
+
+    A list of objects has every path that one of its elements has; turn rows are a table's layout, not a record's.
+    """
+
+    def keys(path: str) -> Column:
         outer, _, inner = path.partition("[].")
-        holder = F.get_json_object(record, f"$.{outer}[0]") if inner else record
-        present.append(F.when(F.array_contains(F.json_object_keys(holder), inner or outer), F.lit(path)))
-    known = F.filter(F.array(*present), lambda p: p.isNotNull())
-    return F.sha2(F.array_join(known, ","), 256)
+        if not inner:
+            return F.json_object_keys(record)
+        elements = F.from_json(F.get_json_object(record, f"$.{outer}"), "array<map<string,string>>")
+        return F.flatten(F.transform(F.filter(elements, lambda e: e.isNotNull()), F.map_keys))
+
+    def own(layout: Layout) -> Column:
+        present = [F.when(F.array_contains(keys(p), p.partition("[].")[2] or p), F.lit(p)) for p in sorted(layout.paths())]
+        return F.sha2(F.array_join(F.filter(F.array(*present), lambda p: p.isNotNull()), ","), 256)
+
+    tried = [p for p in TRIED if BY_PRINT[p].array or BY_PRINT[p].turns]
+    return F.coalesce(*[F.when(own(BY_PRINT[p]) == p, F.lit(p)) for p in tried])
 
 
 def canonical_records(df: DataFrame, record: str = "record") -> DataFrame:
-    """Turns of JSON records whose layouts differ from row to row; a record of no known layout gives none.
+    """Turns of JSON records whose layouts differ from row to row; a record of no known layout gives none here.
 
     ``unknown_records`` lists those, so that nothing goes unseen.
     """
@@ -139,8 +158,7 @@ def canonical_records(df: DataFrame, record: str = "record") -> DataFrame:
 
 def unknown_records(df: DataFrame, record: str = "record") -> DataFrame:
     """Records that no layout fits (turn rows are a table's layout, not a record's)."""
-    known = [fingerprint(x.paths()) for x in LAYOUTS if x.array or x.turns]
-    return df.where(~F.coalesce(record_print(F.col(record)).isin(known), F.lit(False)))
+    return df.where(record_print(F.col(record)).isNull())
 
 
 def escape(text: Column) -> Column:

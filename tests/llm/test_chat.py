@@ -65,6 +65,30 @@ def test_layouts(spark):
         C.canonical(spark.range(1))
 
 
+FOREIGN = ["prompt", "system", "input", "output", "response", "instruction", "completion", "content", "value", "from", "messages", "conversations"]
+
+
+@pytest.mark.parametrize("names", [[n] for n in FOREIGN] + [FOREIGN])
+def test_columns_of_other_layouts_change_nothing(spark, names):
+    extra = "".join(f", `{n}` " + ("array<struct<role string, content string, `from` string, value string>>" if n in ("messages", "conversations") else "string") for n in names)
+    df = spark.createDataFrame([(1, 0, "user", "x", *[None] * len(names)), (1, 1, "assistant", "y", *[None] * len(names))], "conv_id long, turn long, role string, text string" + extra)
+    (row,) = C.digests(C.formatted(C.canonical(df))).collect()
+    assert (row.n_turns, row.turns_sha256, row.loss_sha256) == (2, sha("user\nx\nassistant\ny\n"), sha("y"))
+
+
+def test_records_with_paths_of_several_layouts(spark):
+    records = [
+        {"conv_id": 1, "prompt": "p", "completion": "c", "system": "s"},
+        {"conv_id": 2, "prompt": "p", "completion": "c", "system": "s", "response": "r"},
+        {"conv_id": 3, "prompt": "p", "completion": "c", "messages": [None, {"content": "a"}, {"role": "assistant", "content": "b"}]},
+        {"conv_id": 4, "messages": []},
+    ]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "record string")
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in C.canonical_records(df).where("role IS NOT NULL").collect())
+    assert got == [(1, 0, "user", "p"), (1, 1, "assistant", "c"), (2, 0, "system", "s"), (2, 1, "user", "p"), (2, 2, "assistant", "r"), (3, 2, "assistant", "b")]
+    assert [json.loads(r.record)["conv_id"] for r in C.unknown_records(df).collect()] == [4]
+
+
 def test_extra_columns_and_empty(spark):
     df = spark.createDataFrame([(1, 0, "assistant", "x", "clash", 2)], "conv_id long, turn long, role string, text string, formatted string, n int")
     out = C.formatted(C.canonical(df)).collect()
