@@ -128,8 +128,7 @@ def load(path: str):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
         from tokenizers import Tokenizer
 
-        _made[path] = Tokenizer.from_file(path)
-        _made[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        _made[path] = Tokenizer.from_file(path)  # as it is: a special token's string in a text has that token's id
     return _made[path]
 
 
@@ -194,6 +193,11 @@ def words_encoder(path: str):
     return run
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """Whole texts -> ids, as the tokenizers library gives them without added special tokens."""
+    return ChunkEncoder(parts_encoder(path), words_encoder(path))
+
+
 def shards(docs: DataFrame, path: str, *, end: int = END) -> DataFrame:
     """(part, shard, n_docs, n_tokens, payload): all documents in ascending (doc_id, text) order, nulls first.
 
@@ -202,7 +206,7 @@ def shards(docs: DataFrame, path: str, *, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder, last = ChunkEncoder(parts_encoder(path), words_encoder(path)), struct.pack("<I", end)
+        texts, last = encoder(path), struct.pack("<I", end)
         ids: list[int | None] = []
         codes: list[bytes] = []
         size = 0
@@ -214,7 +218,7 @@ def shards(docs: DataFrame, path: str, *, end: int = END) -> DataFrame:
             )
 
         for batch in batches:
-            for doc_id, code in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, code in zip(batch.column(0).to_pylist(), texts.encode(batch.column(1).to_pylist()), strict=True):
                 ids.append(doc_id)
                 codes.append(code + last)
                 size += len(code) + 4

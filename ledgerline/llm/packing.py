@@ -6,38 +6,39 @@ holds texts of one bucket, each padded to the bucket's boundary, and as many as
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, stored, table
+from ledgerline.llm import dac
+from ledgerline.llm.common import stored, table
 
 #: Padded tokens of a batch, and buckets.
 BUDGET, BUCKETS = 32_768, 16
-#: Lengths up to this are histogram cells of their own; above, a cell spans 1/256 of its power of two.
-EXACT = 4096
 #: Rows that are numbered together.
 SHARD_ROWS = 1000
 
 
-def words(text: Column) -> Column:
-    """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def histogram(lengths: DataFrame, column: str = "n_tokens") -> list[tuple[int, int, int]]:
-    """(largest length, rows, sum of lengths) of each cell, ascending. The number of cells is bounded: EXACT + 256 for each power of two."""
+    """(length, rows, sum of lengths) of each distinct length, ascending.
+
+    Lengths that differ number at most the root of twice all tokens, so 10^13 tokens give 4.5 million cells at the very worst.
+    """
     n = F.col(column)
-    step = F.expr(f"CAST(shiftleft(1L, length(bin({column})) - 9) AS LONG)")
-    cell = F.when(n <= EXACT, n).otherwise(F.ceil(n / step) * step)
-    found = lengths.groupBy(cell.alias("cell")).agg(F.max(n).alias("top"), F.count("*").alias("rows"), F.sum(n).alias("total")).collect()
-    return sorted((r.top, r.rows, r.total) for r in found)
+    found = lengths.groupBy(n.alias("n")).agg(F.count("*").alias("rows")).collect()
+    return sorted((r.n, r.rows, r.n * r.rows) for r in found)
 
 
 def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> tuple[list[int], int]:
     """Upper lengths of at most ``buckets`` buckets that minimise total padding, and that padding.
 
-    Ties take the fewest buckets, then the smallest boundaries.
+    Ties take the fewest buckets, then the smallest boundaries. The best start of a bucket never
+    moves back as the bucket's end moves on, so each layer of the program is solved by halving: all
+    middle ends of a round at once, each among the starts that its neighbours leave.
     """
     if not cells:
         return [], 0
@@ -50,10 +51,22 @@ def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> tuple[list[in
     for _ in range(min(buckets, n)):
         after, came = np.full(n + 1, np.iinfo(np.int64).max // 4), np.zeros(n + 1, dtype=np.int64)
         base = best + s
-        for j in range(1, n + 1):
-            cost = base[:j] - top[j - 1] * c[:j]
-            i = int(np.argmin(cost))
-            after[j], came[j] = cost[i] + top[j - 1] * c[j] - s[j], i
+        first, last = np.array([1]), np.array([n])  # ends to solve, and the starts among which their best is
+        low, high = np.array([0]), np.array([n - 1])
+        while len(first):
+            mid = (first + last) // 2
+            until = np.minimum(high, mid - 1)
+            size = until - low + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(start - low, size)
+            cost = base[i] - np.repeat(top[mid - 1], size) * c[i]
+            least = np.minimum.reduceat(cost, start)
+            hits = np.flatnonzero(cost == np.repeat(least, size))
+            pick = i[hits[np.searchsorted(hits, start)]]
+            after[mid], came[mid] = least + top[mid - 1] * c[mid] - s[mid], pick
+            left, right = mid > first, mid < last
+            first, last = np.r_[first[left], mid[right] + 1], np.r_[mid[left] - 1, last[right]]
+            low, high = np.r_[low[left], pick[right]], np.r_[pick[left], high[right]]
         best = after
         froms.append(came)
         ends.append(int(best[n]))
@@ -77,7 +90,9 @@ def pack(lengths: DataFrame, *, budget: int = BUDGET, buckets: int = BUCKETS) ->
     tops, _ = boundaries(cells, buckets)
     if not tops:
         tops = [0]
-    counts = [sum(rows for top, rows, _ in cells if (b == 0 or top > tops[b - 1]) and top <= tops[b]) for b in range(len(tops))]
+    counts = [0] * len(tops)
+    for n, rows, _ in cells:
+        counts[bisect_left(tops, n)] += rows
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
     bucket = sum((F.col("n_tokens") > b).cast("int") for b in tops[:-1]) if len(tops) > 1 else F.lit(0)
     rows = lengths.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.col("key"), at(-(-max(n, 1) // SHARD_ROWS) for n in counts)))
@@ -98,11 +113,27 @@ def pack(lengths: DataFrame, *, budget: int = BUDGET, buckets: int = BUCKETS) ->
     )
 
 
-def pack_documents(docs: DataFrame, *, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
-    """Pack whole texts by their number of words."""
+def token_lengths(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, key) of every row: tokens of the whole text by the tokenizer at ``path``, 0 for null and empty texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = dac.encoder(path)
+        for batch in batches:
+            sizes = [len(x) // 4 for x in encoder.encode(batch.column(2).to_pylist())]
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1)], ["doc_id", "n_tokens", "key"])
+
     text = F.col("text").cast("string")
-    lengths = docs.select("doc_id", words(text).alias("n_tokens"), F.xxhash64("doc_id", text).alias("key"))
-    return pack(stored(lengths, "lengths"), budget=budget, buckets=buckets)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, key long")
+
+
+def pack_documents(docs: DataFrame, *, path: str | None = None, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """Pack whole texts by their numbers of tokens; ``path``: tokenizer file, the one of the token files by default."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(dac.VOCABULARY)
+    return pack(stored(token_lengths(docs, path), "lengths"), budget=budget, buckets=buckets)
 
 
 def op1_packing(spark, sf_dir):

@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from ledgerline.llm import dac
 from ledgerline.llm import packing as P
 
 
@@ -31,7 +33,8 @@ def test_every_row_is_packed_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, key long")
     out = P.pack_documents(docs, budget=100, buckets=4).collect()
     assert len(out) == len(rows)
-    assert sorted(r.n_tokens for r in out) == sorted(len((t or "").split()) for t in texts)
+    whole = Tokenizer.from_file(public_tokenizers.path(dac.VOCABULARY))
+    assert sorted(r.n_tokens for r in out) == sorted(len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts)
     batches = {}
     for r in out:
         assert r.padding == r.bucket_tokens - r.n_tokens >= 0
@@ -43,16 +46,48 @@ def test_every_row_is_packed_once(spark, monkeypatch):
             assert len(held) == room
 
 
-def test_long_lengths_share_cells_and_stay_exact(spark):
-    frame = spark.createDataFrame([(n,) for n in [1, 4096, 4097, 4100, 4112, 4113, 9000, 10**9]], "n_tokens long")
-    cells = P.histogram(frame)
-    assert [c[0] for c in cells] == [1, 4096, 4112, 4113, 9000, 10**9] and sum(c[2] for c in cells) == 1 + 4096 + 4097 + 4100 + 4112 + 4113 + 9000 + 10**9
+def test_long_lengths_are_exact(spark):
+    """Far beyond any table of common lengths: every distinct length is a cell, and padding is the least there is."""
+    rng = random.Random(3)
+    lengths = [rng.choice([1, 4096, 10**9]) + rng.randrange(3000) for _ in range(900)]
+    cells = P.histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long"))
+    assert cells == [(n, lengths.count(n), n * lengths.count(n)) for n in sorted(set(lengths))]
+    distinct = [c[0] for c in cells]
+    few = rng.sample(distinct, 14)
+    small = [(n, 3, 3 * n) for n in sorted(few)]
+    for k in (1, 2, 4):
+        tops, cost = P.boundaries(small, k)
+        best = min(3 * padding(few, [*t, max(few)]) for size in range(k) for t in itertools.combinations(sorted(few)[:-1], size))
+        assert cost == best == 3 * padding(few, tops)
+    tops, cost = P.boundaries(cells, 3)
+    assert cost == padding(lengths, tops) and cost < 900 * 3000
+
+
+def plain_program(cells, k):
+    """Least padding of at most k buckets, by trying every start of every bucket."""
+    best = {0: 0}
+    found = []
+    for _ in range(min(k, len(cells))):
+        best = {j: min(cost + sum((cells[j - 1][0] - n) * w for n, w, _ in cells[i:j]) for i, cost in best.items() if i < j) for j in range(1, len(cells) + 1) if min(best) < j}
+        found.append(best[len(cells)])
+    return min(found)
+
+
+def test_boundaries_equal_plain_program():
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = sorted(rng.sample(range(1, 500), rng.randrange(1, 60)))
+        cells = [(n, w, n * w) for n, w in ((n, rng.randrange(1, 20)) for n in lengths)]
+        for k in (1, 3, 7):
+            assert P.boundaries(cells, k)[1] == plain_program(cells, k)
 
 
 def test_empty(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_words_by_definition(spark):
-    got = spark.createDataFrame([("a\x0bb\x0cc\xa0d\xa0e\x1cf",), (None,)], "t string").select(P.words(F.col("t"))).collect()
-    assert [r[0] for r in got] == [3, 0]
+def test_lengths_are_tokens(spark):
+    path = public_tokenizers.path(dac.VOCABULARY)
+    texts = ["two words", "a" * 5000, "你好" * 300, None, "", " \n"]
+    got = P.token_lengths(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for t in texts]

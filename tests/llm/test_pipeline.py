@@ -1,8 +1,11 @@
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline as P
-from ledgerline.llm import logistic, packing, quality, simhash, toxicity
+from ledgerline.llm import dac, logistic, packing, quality, toxicity
+from tests.llm.test_nearcopies import kept_by_brute_force
 
 
 def test_run_equals_brute_force(spark, sf):
@@ -15,23 +18,12 @@ def test_run_equals_brute_force(spark, sf):
     t = toxicity.train(docs.join(ids, "doc_id", "left_semi"), labels)
     matcher = toxicity.Matcher(t)
     civil = [r for r in good if logistic.sigmoid(np.dot(toxicity.features(matcher.hits(r[1])), t.weights)) < toxicity.THRESHOLD]
-    prints = [simhash.simhash(text) for _, text in civil]
-    group = list(range(len(civil)))
-
-    def find(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(civil)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = find(i), find(j)
-                group[max(a, b)] = min(a, b)
-    single = {civil[i][0]: len((civil[i][1] or "").split()) for i in range(len(civil)) if find(i) == i}
+    kept = kept_by_brute_force([text for _, text in civil])
+    whole = Tokenizer.from_file(public_tokenizers.path(dac.VOCABULARY))
+    single = {civil[i][0]: len(whole.encode(civil[i][1] or "", add_special_tokens=False).ids) for i in kept}
     out = P.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(single) and len(out) == len(single)
-    assert all(r.bucket_tokens >= r.n_tokens for r in out) and max(r.bucket for r in out) < packing.BUCKETS
+    assert all(r.n_tokens == single[r.doc_id] <= r.bucket_tokens for r in out) and max(r.bucket for r in out) < packing.BUCKETS
 
 
 def test_stages_keep_columns(spark, sf):
