@@ -23,8 +23,10 @@ from ledgerline.llm import logistic
 from ledgerline.llm.common import drop_stored, fold, sampled, stored, table
 
 THRESHOLD = 0.5
-#: Bounds of the labelled sample, in documents, and of the terms that are looked at.
-TOXIC_DOCS, CLEAN_DOCS, CANDIDATES, TERMS = 3000, 12000, 20_000, 400
+#: Bounds of the labelled sample, in documents.
+TOXIC_DOCS, CLEAN_DOCS = 3000, 12000
+#: Least hashes of five-word shingles that copies, which count once, have in common.
+COPY_HASHES = 3
 #: Letters of a stem, and of a whole word from which one edit is allowed.
 STEM, FUZZY_FROM = (4, 5, 6, 7, 8), 5
 #: Share of labelled texts with a term that must be toxic.
@@ -109,6 +111,8 @@ class Matcher:
         fuzzy = {t: self.model.terms[t] for t in self.model.fuzzy}
         self.trie = Trie(fuzzy)
         self.near = frozenset(s for t in fuzzy for s in _shorter(t))
+        #: No word longer than this is within one edit of a whole term, and no stem looks further into a word.
+        self.longest = max(map(len, fuzzy), default=0) + 1
         self.fuzzy_stems = sorted({n for t, stem in fuzzy.items() if stem for n in (len(t) - 1, len(t), len(t) + 1)})
 
     def word(self, word: str) -> tuple[str, int] | None:
@@ -117,17 +121,18 @@ class Matcher:
         for n in self.lengths:
             if word[:n] in self.stems and len(word) >= n:
                 return word[:n], 0
-        if len(word) < FUZZY_FROM - 1 or len(word) > 64 or not self.near:
+        if len(word) < FUZZY_FROM - 1 or not self.near:
             return None
         # a term within one edit of the word, or of one of its prefixes, shares a shortened form with it
-        if not self.near.isdisjoint(_shorter(word)) or any(not self.near.isdisjoint(_shorter(word[:n])) for n in self.fuzzy_stems if n < len(word)):
-            return self.trie.search(word, 1)
+        whole = len(word) <= self.longest and not self.near.isdisjoint(_shorter(word))
+        if whole or any(not self.near.isdisjoint(_shorter(word[:n])) for n in self.fuzzy_stems if n < len(word)):
+            return self.trie.search(word[: self.longest + 1], 1)  # what follows makes no term closer
         return None
 
     def token(self, token: str) -> tuple[str, int] | None:
         """The best hit among the words of a white-space token, or of the token with look-alike characters replaced."""
         found = [x for x in map(self.word, _WORD.findall(token)) if x]
-        if not found and not token.isalpha() and len(token) <= 64:
+        if not found and not token.isalpha():
             bare = token.strip(".,;:?()[]{}\"'“”„«»‹›‘’")
             plain = bare.translate(_LEET)
             if plain != bare and plain.isalpha() and (hit := self.word(plain)):
@@ -173,18 +178,31 @@ def _forms(text: str) -> set[str]:
     return words | {w[:n] + "-" for w in words for n in STEM if len(w) > n}
 
 
-def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
+    """(form, n): texts that hold each form."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             for text in batch.column(0):
-                found = _forms(text.as_py())
-                total.update(found if wanted is None else found & wanted)
+                total.update(_forms(text.as_py()))
             yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["form", "n"])
 
     return rows.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """(text, y) of labelled rows with copies of one label counted once: the least text of those whose COPY_HASHES least hashes of five-word shingles are equal.
+
+    Texts of different labels never merge, and texts that share a passage, s of their shingles, do so with probability s^COPY_HASHES only.
+    """
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    least = [F.array_min(F.transform("shingles", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(COPY_HASHES)]
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, 5)))
+    rows = rows.withColumn("w", words).withColumn("shingles", shingles).select("text", "y", F.array(*least).alias("copy"))
+    return rows.groupBy("y", "copy").agg(F.min("text").alias("text")).select("text", "y")
+
+
 def choose_terms(held: list[set[str]], clean: dict[str, int], n_clean: int) -> dict[str, bool]:
     """Terms -> is it a stem, from the candidate forms of each toxic text and the forms' counts in clean texts.
 
@@ -211,7 +229,7 @@ def choose_terms(held: list[set[str]], clean: dict[str, int], n_clean: int) -> d
     left = set(range(len(held))).difference(*(sure[t + "-" * stem] for t, stem in terms.items()))
     least = max(3, len(held) // 500)
     open_ = {f: rest for f, rows in sure.items() if len(rest := rows & left) >= least}
-    while open_ and len(terms) < TERMS:
+    while open_:
         best = max(open_, key=lambda f: (len(open_[f]), *order(f)[1:]))
         terms[best.rstrip("-")] = best.endswith("-")
         gone = open_[best]
@@ -222,23 +240,22 @@ def choose_terms(held: list[set[str]], clean: dict[str, int], n_clean: int) -> d
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn terms and weights from a bounded sample of labelled rows outside fold 0; copies count once.
 
-    Texts whose least hash of five-word shingles is equal are copies, exact or near.
+    A doc_id with several labels counts as toxic; null labels and ids play no part.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     both = sampled(known.where("y = 1"), "doc_id", TOXIC_DOCS).unionByName(sampled(known.where("y = 0"), "doc_id", CLEAN_DOCS))
     rows = docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").where("text IS NOT NULL")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, 5)))
-    rows = rows.withColumn("w", words).withColumn("copy", F.array_min(shingles))
-    rows = stored(rows.groupBy("copy").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
+    rows = stored(once(rows), "labelled")
     toxic, clean_rows = rows.where("y = 1"), rows.where("y = 0")
     n_toxic, n_clean = toxic.count(), clean_rows.count()
     least = max(2, n_toxic // 500)
-    top = _counted(toxic, None).where(F.col("n") >= least).orderBy(F.desc("n"), "form").limit(CANDIDATES)
-    wanted = {r.form for r in top.collect()}
-    clean = {r.form: r.n for r in _counted(clean_rows, wanted).collect()}
     scale = max(1.0, n_clean / max(1, n_toxic))
-    wanted = {f for f in wanted if clean.get(f, 0) <= 0.1 * n_toxic * scale}
+    often = _counted(toxic).where(F.col("n") >= least)
+    counted = often.join(_counted(clean_rows).withColumnRenamed("n", "clean"), "form", "left").fillna(0, ["clean"])
+    # only sure forms are gathered; choose_terms asks the same again of the texts that it gets
+    sure = counted.where(F.col("n") * scale >= PRECISION * (F.col("n") * scale + F.col("clean"))).collect()
+    clean = {r.form: r.clean for r in sure}
+    wanted = set(clean)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +299,10 @@ def score(model: Model):
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold; columns as they are."""
+    """The rows of ``docs`` whose score stays below the threshold; columns as they are.
+
+    Every row is judged by its own text: repeated rows stay repeated, ids may be null, and a null or empty text is kept.
+    """
     return docs.where(score(train(docs, labels))(F.col("text").cast("string")) < THRESHOLD)
 
 

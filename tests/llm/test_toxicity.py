@@ -78,6 +78,17 @@ def docs(spark, n=300):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, y int"), spark.createDataFrame(labels + [(None, None, 1), (7, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_keep_civil_judges_each_row(spark):
+    d, labels = docs(spark)
+    labels = labels.unionByName(labels)  # repeated labels
+    odd = d.where("doc_id IS NULL OR doc_id >= 1000 OR doc_id = 5").unionByName(d.where("doc_id = 6")).unionByName(d.where("doc_id = 6"))
+    odd = odd.selectExpr("*", "1 AS score", "0 AS toxic", "'x' AS form", "0 AS n", "0 AS copy")
+    train = d.selectExpr("*", "0 AS toxic", "0 AS copy")
+    model = X.train(train, labels)
+    kept = odd.where(X.score(model)("text") < X.THRESHOLD)
+    assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 2 and kept.where("text IS NULL OR text = ''").count() == 2
+
+
 def test_train_and_score(spark):
     d, labels = docs(spark)
     model = X.train(d, labels)
@@ -88,6 +99,25 @@ def test_train_and_score(spark):
     assert kept.columns == d.columns and kept.where("text LIKE '%nitwit%'").count() == 0 and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_long_words_are_read_whole():
+    model = X.Model({"grumblefoot": True, "grumbler": False}, frozenset({"grumblefoot", "grumbler"}), tuple(X.PRIOR))
+    matcher = X.Matcher(model)
+    for n in (0, 60, 5000):
+        assert matcher.word("grumblefoot" + "x" * n) == ("grumblefoot", 0) and matcher.word("grumblfoot" + "x" * n) == ("grumblefoot", 1)
+        assert matcher.token("gr0mblefoot" + "x" * n) is not None
+    assert matcher.word("grumblerxx") is None and matcher.word("grumbler" + "x" * 80) is None
+
+
+def test_shared_passages_do_not_merge_labels(spark):
+    """Clean and toxic texts around one long common passage keep their own texts and labels."""
+    shared = " ".join(f"license{i}" for i in range(200))
+    rows = [(f"{shared} " + " ".join(f"own{k}x{i}" for i in range(40)), k % 2) for k in range(40)]
+    got = {(r.text, r.y) for r in X.once(spark.createDataFrame(rows, "text string, y int")).collect()}
+    assert got <= set(rows) and {y for _, y in got} == {0, 1} and len(got) >= 10
+    copies = [("the same words again and again and once more " * 3, 1)] * 5
+    assert X.once(spark.createDataFrame(copies, "text string, y int")).count() == 1
+
+
 def test_without_labels_or_rows(spark):
     d, labels = docs(spark, 20)
     model = X.train(d, labels.limit(0))
