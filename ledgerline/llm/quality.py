@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import logistic
-from ledgerline.llm.common import fold, sampled, table
+from ledgerline.llm.common import drop_stored, fold, sampled, stored, table
 
 BLOCK = 2048
 THRESHOLD = 0.3
 #: Folds 2, 3, 4 fill the dictionaries and fold 1 calibrates; fold 0 is held out.
-#: Bounds of the labelled sample: documents a class and blocks of each for the dictionaries, documents for the calibration.
-DICTIONARY_DOCS, DICTIONARY_BLOCKS, CALIBRATION_DOCS = 2500, 4, 8000
+#: Bounds of the labelled sample: documents a class for the dictionaries, rows of one block each that are taken of their whole texts, documents for the calibration.
+DICTIONARY_DOCS, DICTIONARY_ROWS, CALIBRATION_DOCS = 2500, 12_000, 8000
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 _made: dict[int, tuple] = {}
 
@@ -68,6 +68,10 @@ def sizes(model: Model, text: str | None) -> tuple[int, int, int]:
     return a, b, n
 
 
+#: Columns of ``features`` that the normalised difference alone gives; the others are the compressed rate and the length.
+DIFFERENCE = 3
+
+
 def features(measured: np.ndarray) -> np.ndarray:
     """Rows of ``sizes`` -> rows of the calibration's inputs; an empty text has size 0 in all."""
     a, b, n = measured.reshape(-1, 3).astype(float).T
@@ -77,18 +81,30 @@ def features(measured: np.ndarray) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, folds: list[int], rows: int, only: int | None = None) -> DataFrame:
+    """Texts of about ``rows`` labelled doc_ids of the folds. A doc_id with several labels counts as bad."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & fold(F.col("doc_id")).isin(folds))
-    known = sampled(known.select("doc_id", "quality") if only is None else known.where(F.col("quality") == only).select("doc_id", "quality"), "doc_id", rows)
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = sampled(known if only is None else known.where(F.col("quality") == only), "doc_id", rows)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from labelled rows outside fold 0; what is gathered is bounded by the constants above."""
+def train(docs: DataFrame, labels: DataFrame, inputs: int = 6) -> Model:
+    """Learn from labelled rows outside fold 0; what is gathered is bounded by the constants above.
+
+    inputs: how many columns of ``features`` the calibration sees (DIFFERENCE: no rate, no length).
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                parts = blocks(x.as_py())
+                yield pa.record_batch([pa.array(parts, pa.binary())], ["block"])
+
     found = {}
     for only in (0, 1):
-        cut = F.udf(lambda text: blocks(text)[:: max(1, -(-len(blocks(text)) // DICTIONARY_BLOCKS))], "array<binary>")
-        rows = _labelled(docs, labels, [2, 3, 4], DICTIONARY_DOCS, only).select(F.explode(cut("text")).alias("block")).collect()
-        found[only] = sorted(bytes(r.block) for r in rows)
+        rows = stored(_labelled(docs, labels, [2, 3, 4], DICTIONARY_DOCS, only).select("text").mapInArrow(cut, "block binary"), "blocks")
+        found[only] = sorted(bytes(r.block) for r in sampled(rows, "block", DICTIONARY_ROWS).collect())
+        drop_stored(rows)
     base = len(found[1]) / max(1, len(found[0]) + len(found[1])) if found[0] or found[1] else 0.5
     try:
         trained = [zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, found[k])) // 4), found[k]).as_bytes() for k in (0, 1)]
@@ -106,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = _labelled(docs, labels, [1], CALIBRATION_DOCS).select("text", F.col("quality").cast("int").alias("y")).mapInArrow(measure, "a long, b long, n long, y int").collect()
     x = features(np.array([[r.a, r.b, r.n] for r in rows], dtype=float))
     y = np.array([r.y for r in rows], dtype=float)
-    weights = logistic.fit(x, y, np.array([1.0, 4.0, 4.0, 0, 0, 0]), precision=0.01)
+    prior = np.array([1.0, 4.0, 4.0, 0, 0, 0])
+    weights = logistic.fit(x[:, :inputs], y, prior[:inputs], precision=0.01)
+    weights = np.r_[weights, np.zeros(len(prior) - inputs)]
     return Model(trained[0], trained[1], tuple(map(float, weights)), base)
 
 
@@ -124,7 +142,10 @@ def score(model: Model):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold; columns as they are."""
+    """The rows of ``docs`` whose score reaches the threshold; columns as they are.
+
+    Every row is judged by its own text: repeated rows stay repeated, ids may be null.
+    """
     text = F.col("text").cast("string")
     return docs.where(score(train(docs, labels))(text) >= THRESHOLD)
 

@@ -51,3 +51,23 @@ def test_held_out_on_table(spark):
     assert np.mean([r.quality == r.predicted for r in got]) >= 0.97
     good, bad = [r.score for r in got if r.quality], [r.score for r in got if not r.quality]
     assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) >= 0.98
+
+
+def test_difference_alone_carries_the_score(spark):
+    """The ablation of README: the calibration sees the normalised difference only."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = Q.train(docs, labels, Q.DIFFERENCE)
+    assert not any(model.weights[Q.DIFFERENCE :])
+    held = labels.where(Q.fold(labels.doc_id) == 0).join(docs, "doc_id").select("quality", Q.score(model)("text").alias("score")).collect()
+    good, bad = [r.score for r in held if r.quality], [r.score for r in held if not r.quality]
+    auc = np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
+    right = np.mean([(r.score >= Q.THRESHOLD) == bool(r.quality) for r in held])
+    print(f"difference alone: {right:.4f} right, AUC {auc:.4f}")
+    assert right >= 0.9 and auc >= 0.95
+
+
+def test_columns_that_clash(spark):
+    d, labels = docs(spark, 80)
+    clash = d.selectExpr("*", "1 AS score", "true AS held_out", "0 AS quality", "0 AS a", "0 AS b", "0 AS y")
+    assert Q.keep_good(clash, labels).columns == clash.columns
