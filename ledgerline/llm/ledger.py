@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import stored, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words")
 #: Rule -> when it fails, in SQL over the measurements. A rule's bit is its place; add new ones at the end only.
@@ -63,7 +64,10 @@ def passes(policy: int) -> Column:
 
 
 def ledger(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, the measurements and fails, for every row; repeated rows stay repeated."""
+    """doc_id, the measurements and fails, for every row.
+
+    Repeated rows stay repeated, ids may be null, a null text counts as empty, and other columns of ``docs`` play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,14 +90,26 @@ def ablation(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
     return rows.agg(F.array(*sums).alias("x")).select(F.inline("x"))
 
 
+def written(spark, sf_dir) -> DataFrame:
+    """The ledger of all documents, written once; every policy and ablation reads that table."""
+    return stored(ledger(table(spark, sf_dir, "documents")), "ledger")
+
+
+def ledger_ablation(spark, sf_dir):
+    """Query: what each rule of each policy costs, from the bits of the written ledger."""
+    rows = written(spark, sf_dir)
+    found = [ablation(rows, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES]
+    return reduce(DataFrame.unionByName, found).select("policy", "rule", "failed", "kept_without")
+
+
 def op8_ledger(spark, sf_dir):
-    """Query: measurements and verdict of every document."""
-    rows = ledger(table(spark, sf_dir, "documents"))
+    """Query: measurements and verdict of every document, from the written ledger."""
+    rows = written(spark, sf_dir)
     return rows.select("doc_id", *MEASURES[:5], (~passes(1)).alias("base_failed"), passes(CURRENT).alias("kept"))
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-ORACLE = f"""
+_MEASURED = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 by_line AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
@@ -106,6 +122,14 @@ m AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
     coalesce(n_lines, 0) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words
   FROM d LEFT JOIN by_line USING (r) LEFT JOIN covered USING (r))
+"""
+ORACLE = f"""{_MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({" OR ".join(RULES[x] for x in BASE)}) AS base_failed,
   NOT ({" OR ".join(RULES.values())}) AS kept FROM m
 """
+_COSTS = [
+    f"SELECT {policy} AS policy, '{rule}' AS rule, count(*) FILTER ({RULES[rule]}) AS failed, count(*) FILTER ({' AND '.join(['(' + RULES[rule] + ')', *(f'NOT ({RULES[x]})' for x in rules if x != rule)])}) AS kept_without FROM m"
+    for policy, rules in POLICIES.items()
+    for rule in rules
+]
+ABLATION = _MEASURED + "\nUNION ALL ".join(_COSTS)

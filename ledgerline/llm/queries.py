@@ -21,9 +21,10 @@ QUERIES = {
     "op6_tokens": dac.op6_tokens,
     "op7_quality": quality.op7_quality,
     "op8_ledger": ledger.op8_ledger,
+    "ledger_ablation": ledger.ledger_ablation,
     "op9_chat": chat.op9_chat,
     "op10_bpe": bpe.op10_bpe,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op8_ledger": ledger.ORACLE, "op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op8_ledger": ledger.ORACLE, "ledger_ablation": ledger.ABLATION, "op9_chat": chat.ORACLE}

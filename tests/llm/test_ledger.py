@@ -6,6 +6,18 @@ def test_query_equals_sql(spark, sf):
     assert same(spark, L.op8_ledger, L.ORACLE, sf) == 200
 
 
+def test_ablation_equals_sql(spark, sf):
+    assert same(spark, L.ledger_ablation, L.ABLATION, sf) == sum(map(len, L.POLICIES.values()))
+
+
+def test_repeated_odd_and_long_rows(spark):
+    long = "a b c " * 100_000
+    rows = [(1, "x y"), (1, "x y"), (None, None), (None, long)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_words int, fails int")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_repeat_words) for r in L.ledger(docs).collect()))
+    assert got == [(0, 0, 0), (0, 300_000, 300_000), (1, 2, 0), (1, 2, 0)]
+
+
 def test_measurements():
     assert L.measure(None) == L.measure("") == (0,) * 7
     assert L.measure(" \n\t") == (0,) * 7
