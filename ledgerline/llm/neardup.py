@@ -1,13 +1,17 @@
 """Embedding near-duplicates by counting collisions on sorted projections.
 
-Every unit vector is projected many times. One of the orders sorts the vectors of a grid cell, cut
-by CELLS further projections, by one projection; two vectors collide in the order if they share the
-cell and lie within a window around each other. The number of orders and the collisions that a
-pair needs are calibrated: a pair exactly at the threshold passes with probability RECALL, and
-closer pairs more surely. Pairs that pass are verified by cosine in double precision.
-
-Pairs never leave the task that finds them. A pair counts in the first order it collides in only,
-so the tasks' link counts add up, and connectivity leaves as one edge a vector and block.
+Every unit vector is projected many times, and each order sorts the vectors by one projection: two
+vectors collide in it if one lies within the window around the other. On a single projection that
+window holds a ninth of all vectors at the usual threshold, so an order is cut by a grid of further
+projections first: vectors must share a grid cell as well. The number of orders and the collisions
+that a pair needs are calibrated: a pair exactly at the threshold passes with probability RECALL,
+and closer pairs more surely. Pairs that pass are verified by cosine in double precision.
+
+The sorted line of a cell is cut into strips; a vector near a strip's lower end is also a visitor of
+the strip below, so every collision happens in one strip. A strip with many vectors is cut into
+chunks that are compared two by two, in tasks of their own. Pairs never leave the task that finds
+them: a pair counts in the first order it collides in only, so the tasks' link counts add up, and
+connectivity leaves as one edge a vector and block.
 """
 
 from __future__ import annotations
@@ -15,9 +19,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +36,16 @@ COSINE, RECALL, SEED = 0.98, 0.99, 20_240
 GRID, WINDOW = 4.0, 2.0
 #: Chance neighbours within a window that a vector may have in an order; sets the projections of a cell.
 CHANCE = 0.05
-#: Vectors of a block that one task compares with those of another.
-CHUNK = 1024
-#: Pairs that are looked at in one step.
-STEP = 60_000
+#: Length of a strip in windows.
+STRIP = 4
+#: Vectors of a strip that one block holds; more are cut into chunks, whose size grows with the root of the strip's size up to LARGEST.
+CHUNK, GROWTH, LARGEST = 512, 64, 16_384
+#: Vectors of a block up to which pairs are found by neighbours in place, for all such blocks at once; beyond, by matrix products.
+FEW = 16
+#: Vectors of a block that one product takes, and pairs whose collisions are counted in one step.
+ROWS, STEP = 256, 60_000
+#: Rounding that a product may have before a pair is looked at by itself.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -74,17 +87,21 @@ def calibrate(rows: int, cosine: float = COSINE, recall: float = RECALL, count:
     return Plan(cosine, cells, orders, count)
 
 
+@lru_cache(8)
+def _directions(plan: Plan, dimension: int) -> tuple[np.ndarray, ...]:
+    rng = np.random.default_rng([SEED, dimension, plan.cells, plan.orders])
+    grid = rng.standard_normal((dimension, plan.orders * plan.cells))
+    shift = rng.uniform(0, GRID * plan.distance, plan.orders * plan.cells)
+    mix = rng.integers(1, 2**62, (plan.orders, plan.cells), dtype=np.int64) * 2 + 1
+    salt = rng.integers(0, 2**62, plan.orders, dtype=np.int64)
+    return grid, shift, mix, salt, rng.standard_normal((dimension, plan.orders))
+
+
 def projected(plan: Plan, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cell of each vector in each order, projection that the order sorts by)."""
+    grid, shift, mix, salt, sort = _directions(plan, vectors.shape[1])
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    rng = np.random.default_rng([SEED, vectors.shape[1], plan.cells, plan.orders])
-    width = GRID * plan.distance
-    grid = rng.standard_normal((vectors.shape[1], plan.orders * plan.cells))
-    shift = rng.uniform(0, width, plan.orders * plan.cells)
-    mix = rng.integers(1, 2**62, (plan.orders, plan.cells), dtype=np.int64) * 2 + 1
-    salt = rng.integers(0, 2**62, plan.orders, dtype=np.int64)
-    sort = rng.standard_normal((vectors.shape[1], plan.orders))
-    steps = np.floor((unit @ grid + shift) / width).astype(np.int64).reshape(-1, plan.orders, plan.cells)
+    steps = np.floor((unit @ grid + shift) / (GRID * plan.distance)).astype(np.int64).reshape(-1, plan.orders, plan.cells)
     return (steps * mix).sum(axis=2) + salt, unit @ sort
 
 
@@ -114,48 +131,75 @@ def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         found = after
 
 
-def compare(plan: Plan, order: int, left: np.ndarray, x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block that this order owns: (links of each vector, pairs i, pairs j).
-
-    left: whether a vector is of the first chunk, of the second, or (one chunk) 0 for all; pairs are
-    taken across chunks, or inside the only one. times: copies of each vector.
+def _few(block: np.ndarray, place: np.ndarray, rows: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``rows`` that are of one block and within the window: each row with its 1st, 2nd, ... next one in place."""
+    rows = rows[np.lexsort((place[rows], block[rows]))]
+    own, at = block[rows], place[rows]
+    left, right = [], []
+    i, k = np.arange(len(rows)), 1
+    while len(i):
+        i = i[i + k < len(rows)]
+        i = i[(own[i] == own[i + k]) & (at[i + k] - at[i] <= window)]
+        left.append(rows[i])
+        right.append(rows[i + k])
+        k += 1
+    return np.concatenate(left or [rows[:0]]), np.concatenate(right or [rows[:0]])
+
+
+def _many(unit: np.ndarray, place: np.ndarray, rows: np.ndarray, window: float, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block's rows within the window whose product reaches ``cosine``."""
+    rows = rows[np.argsort(place[rows])]
+    until = np.searchsorted(place[rows], place[rows] + window, side="right")
+    for k in range(0, len(rows), ROWS):
+        high = until[min(k + ROWS, len(rows)) - 1]
+        a, b = np.nonzero(unit[rows[k : k + ROWS]] @ unit[rows[k:high]].T >= cosine)
+        near = (b > a) & (b + k < until[k + a])
+        yield rows[k + a[near]], rows[k + b[near]]
+
+
+def compare(plan: Plan, block: np.ndarray, order: np.ndarray, side: np.ndarray, home: np.ndarray, x: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of whole blocks that their orders own: (links of each vector, pairs i, pairs j).
+
+    block: ascending numbers. side: 0, or the chunk of a vector where its block compares two chunks
+    (1 and 2), whose pairs are taken across only. home: false for visitors, which pair with homes only.
+    times: copies of each vector.
     """
-    n = len(x)
-    cell, place = projected(plan, x)
+    n, window = len(x), WINDOW * plan.distance
+    cell, place = (np.concatenate(v) for v in zip(*(projected(plan, x[k : k + 2000]) for k in range(0, n, 2000)), strict=True))
     length = np.sqrt(np.einsum("ij,ij->i", x, x))
-    links = np.zeros(n, dtype=np.int64)
-    kept_i, kept_j = [], []
-    one = (left == left[0]).all()
-    first = np.arange(n) if one else np.flatnonzero(left == left[0])
-    second = np.arange(n) if one else np.flatnonzero(left != left[0])
-    rows = max(1, STEP // max(1, len(second)))
-    window = WINDOW * plan.distance
-    for k in range(0, len(first), rows):
-        a = np.repeat(first[k : k + rows], len(second))
-        b = np.tile(second, len(first[k : k + rows]))
-        near = (np.abs(place[a, order] - place[b, order]) <= window) & (cell[a, order] == cell[b, order])
-        if one:
-            near &= a < b
-        a, b = a[near], b[near]
-        close = np.einsum("ij,ij->i", x[a], x[b]) >= plan.cosine * length[a] * length[b]
-        a, b = a[close], b[close]
-        if not len(a):
-            continue
-        hit = (cell[a] == cell[b]) & (np.abs(place[a] - place[b]) <= window)
-        own = (hit.sum(axis=1) >= plan.count) & ~hit[:, :order].any(axis=1)
-        a, b = a[own], b[own]
-        np.add.at(links, a, times[b])
-        np.add.at(links, b, times[a])
-        kept_i.append(a)
-        kept_j.append(b)
+    unit = x / length[:, None]
+    own = place[np.arange(n), order]
+    wide = window * (1 + ROUNDING)
+    sizes = np.bincount(block - block[0])
+    small = sizes[block - block[0]] <= FEW
+    ends = np.cumsum(sizes)
+    found = [_few(block, own, np.flatnonzero(small), wide)]
+    large = (_many(unit, own, np.arange(e - s, e), wide, plan.cosine - ROUNDING) for s, e in zip(sizes, ends, strict=True) if s > FEW)
+    links, kept = np.zeros(n, dtype=np.int64), []
+    for i, j in chain(found, *large):
+        for k in range(0, len(i), STEP):
+            a, b = i[k : k + STEP], j[k : k + STEP]
+            ok = (home[a] | home[b]) & ((side[a] == 0) | (side[a] != side[b]))
+            a, b = a[ok], b[ok]
+            about = np.einsum("ij,ij->i", unit[a], unit[b])
+            ok = about >= plan.cosine + ROUNDING
+            unsure = np.flatnonzero(~ok & (about >= plan.cosine - ROUNDING))
+            ok[unsure] = np.einsum("ij,ij->i", x[a[unsure]], x[b[unsure]]) >= plan.cosine * length[a[unsure]] * length[b[unsure]]
+            a, b = a[ok], b[ok]
+            hit = (cell[a] == cell[b]) & (np.abs(place[a] - place[b]) <= window)
+            ok = (hit.sum(axis=1) >= plan.count) & (hit.argmax(axis=1) == order[a]) & hit[np.arange(len(a)), order[a]]
+            a, b = a[ok], b[ok]
+            np.add.at(links, a, times[b])
+            np.add.at(links, b, times[a])
+            kept.append((a, b))
     empty = np.zeros(0, dtype=np.int64)
-    return links, np.concatenate(kept_i or [empty]), np.concatenate(kept_j or [empty])
+    return links, np.concatenate([a for a, _ in kept] or [empty]), np.concatenate([b for _, b in kept] or [empty])
 
 
 def candidates(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """(node, order, cell, chain, chunk): vectors that have another within the window in an order's sorted cell.
+    """(order, code, c1, c2, chunk, node, home): vectors of each strip of an order's sorted cell that has two or more.
 
-    A chain is a run of a cell whose neighbours lie within the window; a chunk is CHUNK of its vectors.
+    c1 and c2 are the chunks that a block compares: both 0 but in strips of more than CHUNK vectors.
     """
     window = WINDOW * plan.distance
 
@@ -165,52 +209,45 @@ def candidates(nodes: DataFrame, plan: Plan) -> DataFrame:
                 for k in range(0, batch.num_rows, 1000):
                     part = batch.slice(k, 1000)
                     cell, place = projected(plan, _vectors(part.column(1)))
-                    salt = part.column(2).to_numpy(zero_copy_only=False)
-                    cell = cell ^ salt[:, None]
+                    cell = (cell ^ part.column(2).to_numpy(zero_copy_only=False)[:, None]).ravel()
                     node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), plan.orders)
                     order = np.tile(np.arange(plan.orders, dtype=np.int32), part.num_rows)
-                    yield pa.record_batch([pa.array(node), pa.array(order), pa.array(cell.ravel()), pa.array(place.ravel())], ["node", "order", "cell", "place"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, whose right neighbour isn't known yet
-        for batch in batches:
-            node, order, cell, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            joined = np.zeros(len(node), dtype=bool)  # to the row before
-            joined[1:] = (order[1:] == order[:-1]) & (cell[1:] == cell[:-1]) & (place[1:] - place[:-1] <= window)
-            if held is None:
-                held = {"node": node[0], "order": order[0], "cell": cell[0], "place": place[0], "chain": 0, "position": 0, "joined": False}
-                node, order, cell, place, joined = (v[1:] for v in (node, order, cell, place, joined))
-                if not len(node):
-                    continue
-            elif held["order"] == order[0] and held["cell"] == cell[0]:
-                joined[0] = place[0] - held["place"] <= window
-            breaks = np.cumsum(~joined)
-            chain = held["chain"] + breaks
-            start = np.maximum.accumulate(np.where(~joined, np.arange(len(node)), -1))
-            position = np.where(start < 0, held["position"] + 1 + np.arange(len(node)), np.arange(len(node)) - start)
-            names = ("node", "order", "cell", "place", "chain", "position", "joined")
-            now = dict(zip(names, (node, order, cell, place, chain, position, joined), strict=True))
-            every = {k: np.r_[np.array([held[k]], dtype=now[k].dtype), now[k]] for k in names}
-            alive = every["joined"][:-1] | every["joined"][1:]
-            held = {k: every[k][-1] for k in names}
-            out = {k: v[:-1][alive] for k, v in every.items()}
-            yield pa.record_batch([pa.array(out["node"]), pa.array(out["order"]), pa.array(out["cell"]), pa.array(out["chain"].astype(np.int64)), pa.array((out["position"] // CHUNK).astype(np.int32))], ["node", "order", "cell", "chain", "chunk"])
-        if held is not None and held["joined"]:
-            yield pa.record_batch([pa.array([int(held["node"])]), pa.array([int(held["order"])], pa.int32()), pa.array([int(held["cell"])]), pa.array([int(held["chain"])]), pa.array([int(held["position"]) // CHUNK], pa.int32())], ["node", "order", "cell", "chain", "chunk"])
-
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = nodes.select("node", "embedding", F.xxhash64("label", F.size("embedding")).alias("salt")).mapInArrow(send, "node long, order int, cell long, place double")
-    sorted_ = sent.repartition(n, "order", "cell").sortWithinPartitions("order", "cell", "place", "node")
-    return sorted_.mapInArrow(runs, "node long, order int, cell long, chain long, chunk int")
+                    strip = np.floor(place.ravel() / (STRIP * window)).astype(np.int64)
+                    visits = np.flatnonzero(place.ravel() - strip * STRIP * window <= window * (1 + ROUNDING))
+                    code = lambda at, up: (cell[at] ^ (strip[at] - up) * _MIX) * _MIX
+                    every = slice(None)
+                    yield pa.record_batch(
+                        [pa.array(np.r_[order, order[visits]]), pa.array(np.r_[code(every, 0), code(visits, 1)]), pa.array(np.r_[node, node[visits]]), pa.array(np.r_[np.ones(len(node), bool), np.zeros(len(visits), bool)])],
+                        ["order", "code", "node", "home"],
+                    )
+
+    sent = nodes.select("node", "embedding", F.xxhash64("label", F.size("embedding")).alias("salt")).mapInArrow(send, "order int, code long, node long, home boolean")
+    sent = stored(sent, "sent")
+    counts = sent.groupBy("order", "code").agg(F.count("*").alias("n"), F.bool_or("home").alias("homes"))
+    counts = stored(counts.where("n > 1 AND homes").select("order", "code", "n"), "strips")
+    hot = small_or_shuffled(counts.where(F.col("n") > CHUNK).select("order", "code", "n"))
+    key = ["order", "code"]
+    cold = sent.join(hot.select(key), key, "left_anti").join(counts.where(F.col("n") <= CHUNK).select(key), key)
+    cold = cold.select("order", "code", F.lit(0).alias("c1"), F.lit(0).alias("c2"), F.lit(0).alias("chunk"), "node", "home")
+    blocks = F.ceil(F.greatest(F.sqrt(F.col("n") / GROWTH), F.col("n") / LARGEST)).cast("int")
+    split = sent.join(hot, key).withColumn("blocks", blocks).withColumn("chunk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cold.unionByName(split.select("order", "code", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node", "home"))
+
+
+#: An odd number that spreads strip numbers over 64 bits.
+_MIX = np.int64(-7046029254386353131)
 
 
 def _partial(plan: Plan):
-    """Rows sorted by block -> (a, b, n): links n of vector a (b null), or an edge between a and b. Holds one block, two chunks at most."""
-
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        one = pa.Table.from_batches(rows).combine_chunks()
-        node, times = (one.column(k).to_numpy() for k in ("node", "times"))
-        links, i, j = compare(plan, int(one.column("order")[0].as_py()), one.column("chunk").to_numpy(), _vectors(one.column("embedding").combine_chunks()), times)
+    """Rows sorted by block -> (a, b, n): links n of vector a (b null), or an edge between a and b. Holds one batch and one block."""
+    names = ["order", "code", "c1", "c2"]
+
+    def blocks(one: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+        node, times, order, home = (one.column(k).to_numpy() for k in ("node", "times", "order", "home"))
+        side = np.where(key[:, 2] == key[:, 3], 0, 1 + (one.column("chunk").to_numpy() == key[:, 3]))
+        block = np.r_[0, np.cumsum((np.diff(key, axis=0) != 0).any(axis=1))]
+        links, i, j = compare(plan, block, order, side, home.astype(bool), _vectors(one.column("embedding").combine_chunks()), times)
         linked = np.flatnonzero(links)
         to = _labels(i, j, len(node))
         edge = np.flatnonzero(to != np.arange(len(node)))
@@ -219,20 +256,23 @@ def _partial(plan: Plan):
         return pa.record_batch([pa.array(a), b, pa.array(np.r_[links[linked], np.zeros(len(edge), dtype=np.int64)])], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
-            cut = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
-            for s, e in zip(np.r_[0, cut], np.r_[cut, len(keys)], strict=True):
-                if open_ and tuple(keys[s]) != key:
-                    if sum(x.num_rows for x in open_) > 1:
-                        yield block(open_)
-                    open_ = []
-                key = tuple(keys[s])
-                open_.append(batch.slice(s, e - s))
-        if sum(x.num_rows for x in open_) > 1:
-            yield block(open_)
+        open_: list[pa.RecordBatch] = []  # of the last block so far, which may go on
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                open_.append(batch)
+                last = [batch.column(k)[batch.num_rows - 1] for k in names]
+                if [open_[0].column(k)[0] for k in names] == last:
+                    continue
+            if not open_:
+                return
+            one = pa.Table.from_batches(open_).combine_chunks()
+            key = np.column_stack([one.column(k).to_numpy().astype(np.int64) for k in names])
+            end = len(key) if batch is None else int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1
+            open_ = one.slice(end).to_batches()
+            sizes = pc.list_value_length(one.column("embedding")).to_numpy()[:end]
+            for size in np.unique(sizes):  # a block has vectors of one length, but for codes that are equal by chance
+                keep = np.flatnonzero(sizes == size)
+                yield blocks(one.take(keep), key[keep])
 
     return run
 
@@ -252,16 +292,10 @@ def groups(vectors: DataFrame, *, cosine: float = COSINE, recall: float = RECALL
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     plan = calibrate(largest, cosine, recall)
-    near = stored(candidates(nodes, plan), "near")
-    block = ["order", "cell", "chain"]
-    hot = near.where("chunk > 0").groupBy(*block).agg(F.max("chunk").alias("last"))
-    near = near.join(small_or_shuffled(hot), block, "left")
-    pairs = F.when(F.col("last").isNull(), F.array(F.struct(F.lit(0).alias("c1"), F.lit(0).alias("c2"))))
-    pairs = pairs.otherwise(F.transform(F.sequence(F.lit(0), F.col("last")), lambda c: F.struct(F.least(c, F.col("chunk")).alias("c1"), F.greatest(c, F.col("chunk")).alias("c2"))))
-    near = near.select("node", *block, "chunk", F.explode(pairs).alias("pair")).select("node", *block, "chunk", "pair.c1", "pair.c2")
+    key = ["order", "code", "c1", "c2"]
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = near.join(nodes.select("node", "embedding", "times"), "node").select(*block, "c1", "c2", "chunk", "node", "times", "embedding")
-    placed = placed.repartition(n, *block, "c1", "c2").sortWithinPartitions(*block, "c1", "c2", "chunk", "node")
+    placed = candidates(nodes, plan).join(nodes.select("node", "embedding", "times"), "node").select(*key, "chunk", "home", "node", "times", "embedding")
+    placed = placed.repartition(n, *key).sortWithinPartitions(*key)
     partial = stored(placed.mapInArrow(_partial(plan), "a long, b long, n long"), "partial")
     links = partial.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(partial.where("b IS NOT NULL").select("a", "b"))
@@ -269,11 +303,13 @@ def groups(vectors: DataFrame, *, cosine: float = COSINE, recall: float = RECALL
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     component = joined.join(smallest, "root").select("node", "component_id")
     whole = nodes.select("node", "label", "h1", "h2", "first", "times").join(links, "node", "left").join(component, "node", "left")
-    whole = whole.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"), F.lit(True).alias("fine"))
+    whole = whole.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     whole = stored(whole, "whole")
-    found = rows.select("vec_id", "label", "h1", "h2", "fine").join(small_or_shuffled(whole), ["label", "h1", "h2", "fine"], "left")
+    found = rows.where("fine").join(small_or_shuffled(whole), ["label", "h1", "h2"], "left").select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(whole.schema["component_id"].dataType).alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
+    both = found.unionByName(alone)
+    return both.select("vec_id", "n_links", component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op4_embeddings(spark, sf_dir):

@@ -40,6 +40,8 @@ def made(seed, n, copies):
 @pytest.mark.parametrize("chunk", [1024, 5])
 def test_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(N, "CHUNK", chunk)
+    monkeypatch.setattr(N, "GROWTH", chunk)
+    monkeypatch.setattr(N, "FEW", 16 if chunk > 5 else 3)
     monkeypatch.setattr(N, "STEP", 200)
     rows = made(1, 60, [1, 2, 40, 3])
     base = rows[5][1]
@@ -88,3 +90,29 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(3, v, 1), (3, v, 1), (None, v, 1), (None, [5.0, -1.0], 1)], "vec_id long, embedding array<double>, label int")
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in N.groups(df).collect()), key=repr)
     assert got == [(0, 0, None, True), (0, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True)]
+
+
+def test_recall_by_cosine_band(spark):
+    """Pairs of different vectors, found link by link against brute force, most of all those just above the threshold."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("label IS NOT NULL AND embedding IS NOT NULL")
+    rows = {}
+    for r in df.orderBy("vec_id").collect():
+        rows.setdefault((r.label, tuple(r.embedding)), r.vec_id)
+    base = np.array([e for (_, e) in rows], dtype=float)[:400]
+    rng = np.random.default_rng(8)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal(base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.repeat([0.979, 0.9805, 0.983, 0.99], 100)[:, None]
+    other = cosine * base + np.sqrt(1 - cosine**2) * other
+    filler = rng.standard_normal((6000, base.shape[1]))
+    vectors = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, other, filler]))]
+    got = {r.vec_id: r.n_links for r in N.groups(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")).where("vec_id < 800").collect()}
+    unit = np.concatenate([base, other])
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(800)])
+    assert (found <= want).all()
+    for k, least in ((1, 0.95), (2, 0.97), (3, 0.99)):
+        band = np.r_[k * 100 : k * 100 + 100, 400 + k * 100 : 500 + k * 100]
+        assert found[band].sum() >= least * want[band].sum() > 0, k
