@@ -1,4 +1,6 @@
 import html
+import itertools
+import random
 import re
 from html.parser import HTMLParser
 
@@ -108,6 +110,72 @@ def test_unnamed_hosts_by_statistics(spark, monkeypatch):
     assert W.texts(df.limit(0)).count() == 0
 
 
+def test_pages_of_any_depth(spark):
+    for tag in ("div", "figure", "span class=lead", "b"):
+        deep = "<article><p>x</p>" + f"<{tag}>" * 100_000 + "<p>deep</p>" + f"</{tag.split()[0]}>" * 100_000 + "<p>y</p></article>"
+        assert alone(deep) == "x\ndeep\ny", tag
+    assert alone("<article>" + "<div><i></section>" * 50_000 + "z") == "z"
+    rows = [(i, "http://deep.example/", "<article>" + "<div>" * 20_000 + f"deep {i}") for i in range(3)]
+    for r in W.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"deep {r.page_id}"
+
+
+def plain_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_longest_common_subsequence(monkeypatch):
+    rng = random.Random(1)
+    for bits in (1 << 28, 40):
+        monkeypatch.setattr(W, "TABLE_BITS", bits)
+        for _ in range(300):
+            a, b = ([rng.choice("abcde") for _ in range(rng.randrange(25))] for _ in range(2))
+            found = W.common(a, b)
+            assert all(a[i] == b[j] for i, j in found) and len(found) == plain_common(a, b)
+            assert all(i < k and j < m for (i, j), (k, m) in itertools.pairwise(found))
+    a, b = ([rng.choice("abcdefgh") for _ in range(3000)] for _ in range(2))  # 9 million cells
+    whole = len(W.common(a, b))
+    monkeypatch.setattr(W, "TABLE_BITS", 1 << 28)
+    assert whole == len(W.common(a, b))
+
+
+def test_trees_are_written_flat():
+    tree = W.skeleton(W.page("<ul><li>a<li>b</ul><p>c<p>d<table><tr><td>x</table>"))
+    assert W.load(W.dump(tree)) == tree
+
+
+def test_generated_names_keep_the_wrapper_bounded(spark, monkeypatch):
+    """A host whose elements have new class names on each page: the wrapper stops growing, and every page is still read whole."""
+    monkeypatch.setattr(W, "WIDE", 20)
+    page = "<div class='top-nav'><a href=/>home</a></div>" + "".join("<section class='c{0}k%d'><p>Part %d of page {0}</p></section><div class='ad x{0}y%d'>buy</div>" % (k, k, k) for k in range(15))
+    trees = [W.skeleton(W.page(page.format(i))) for i in range(60)]
+    sizes, whole = [], trees[0]
+    for t in trees[1:]:
+        whole = W.merge(whole, t)
+        sizes.append(len(W.dump(whole)))
+    assert sizes[-1] < 2 * sizes[5]
+    rows = [(i, "http://gen.example/", page.format(i)) for i in range(60)]
+    for r in W.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == "\n".join(f"Part {k} of page {r.page_id}" for k in range(15))
+
+
+def test_unnamed_articles_with_optional_parts(spark):
+    """Nothing names the article: constant and link-heavy parts go, optional and repeated prose stays."""
+    rows, want = [], {}
+    for i in range(30):
+        lead = f"<div class=k4><span class=k9>Summary {i}</span></div>" if i % 3 else ""
+        prose = "".join(f"<div class=k5>Paragraph {k} of text {i}.</div>" for k in range(1 + i % 4))
+        links = "".join(f"<li><a href=/{k}>Other story {i + k}</a></li>" for k in range(3))
+        rows.append((i, "https://user@Plain.Example:8080/x", f"<body><div class=k1><a href=/>Start</a> <a href=/all>All</a></div><div class=k2>{lead}{prose}</div><div class=k3><ul>{links}</ul></div><div class=k6>Made with care</div></body>"))
+        want[i] = "\n".join([f"Summary {i}"] * (i % 3 > 0) + [f"Paragraph {k} of text {i}." for k in range(1 + i % 4)])
+    got = {r.page_id: r.text for r in W.texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == want
+
+
 def test_entities_are_decoded_once():
     assert alone("<article>&amp;lt; &#233;&#x4e16;&copy</article>") == html.unescape("&lt;").replace("<", "&lt;") + " é世©"
     assert re.search("é", alone("<article>&eacute;</article>"))
