@@ -1,79 +1,190 @@
-"""Wire definition files: a line parser for the subset of the schema language that they use."""
+"""Wire definition files: tokens, statements, and the declarations that the statements nest."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FIELD = "struct<name string, number int, type string, label string, oneof string, deprecated boolean, comment string>"
 VALUE = "struct<name string, number int, deprecated boolean>"
-SCHEMA = f"name string, kind string, file string, deprecated boolean, comment string, fields array<{FIELD}>, values array<{VALUE}>, reserved array<int>"
-_OPEN = re.compile(r"(message|enum|service)\s+(\w+)")
-_FIELD = re.compile(r"(repeated\s+|optional\s+)?([\w.<>, ]+?)\s+(\w+)\s*=\s*(\d+)")
-_VALUE = re.compile(r"(\w+)\s*=\s*(-?\d+)")
+RANGE = "struct<low int, high int>"
+SCHEMA = f"name string, kind string, file string, deprecated boolean, comment string, fields array<{FIELD}>, values array<{VALUE}>, reserved array<int>, reserved_ranges array<{RANGE}>"
+_FIELDS = pa.struct([("name", pa.string()), ("number", pa.int32()), ("type", pa.string()), ("label", pa.string()), ("oneof", pa.string()), ("deprecated", pa.bool_()), ("comment", pa.string())])
+_VALUES = pa.struct([("name", pa.string()), ("number", pa.int32()), ("deprecated", pa.bool_())])
+_RANGES = pa.struct([("low", pa.int32()), ("high", pa.int32())])
+_ARROW = pa.schema(
+    [("name", pa.string()), ("kind", pa.string()), ("file", pa.string()), ("deprecated", pa.bool_()), ("comment", pa.string())]
+    + [("fields", pa.list_(_FIELDS)), ("values", pa.list_(_VALUES)), ("reserved", pa.list_(pa.int32())), ("reserved_ranges", pa.list_(_RANGES))]
+)
+_TOKEN = re.compile(r"(?P<note>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<text>\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?)|(?P<word>[\w.+-]+)|(?P<mark>[^\s\w])", re.S)
+# The schema language's declarations, labels and largest field number; the longest comment that is kept.
+DECLARATIONS, LABELS, LAST_NUMBER, LONGEST = ("message", "enum", "service"), ("repeated", "optional", "required"), 536_870_911, 300
 _RETIRED = re.compile(r"deprecated[.:]", re.I)
-LONGEST = 300
 
 
-def _comment(lines: list[str]) -> str | None:
-    text = " ".join(" ".join(re.sub(r"^//\s?", "", x) for x in lines).split())
+@dataclass
+class Statement:
+    """Words and marks up to a semicolon or an opening brace, the comment lines right above, and what the braces hold."""
+
+    tokens: list[str]
+    comment: str | None
+    body: list[Statement] | None = None
+    closed: bool = False
+
+
+@dataclass
+class Scope:
+    """An open brace: where its statements go, and whose it is."""
+
+    into: list[Statement]
+    owner: Statement | None = None
+    pending: list[str] = field(default_factory=list)
+    comment: str | None = None
+
+
+def comment_text(lines: list[str]) -> str | None:
+    """Comment lines as one, at most LONGEST characters."""
+    text = " ".join(" ".join(lines).split())
     return (text if len(text) <= LONGEST else text[: LONGEST - 1] + "...") or None
 
 
-def parse(file: str, source: str) -> list[dict]:
-    """Messages, enums and services of a file in the order in which they close; nested names are qualified.
-
-    Comment lines directly above a line belong to it. A message written on one line stays open, and
-    only a lone deprecated option marks a field; ranges under reserved are passed over.
-    """
-    package, scopes, union, above, out = "", [], None, [], []
-    for line in map(str.strip, source.split("\n")):
-        if line.startswith("//"):
-            above.append(line)
-            continue
-        comment, above = _comment(above), []
-        if line.startswith("package "):
-            package = line[8:].split(";")[0].strip()
-        elif not line or line.startswith(("syntax", "import", "option ")):
-            pass
-        elif m := _OPEN.match(line):
-            parents = [s["name"].rpartition(".")[2] for s in scopes]
-            name = ".".join(x for x in [package, *parents, m[2]] if x)
-            scopes.append({"name": name, "kind": m[1], "file": file, "deprecated": bool(_RETIRED.match(comment or "")), "comment": comment, "fields": [], "values": [], "reserved": [], "union": None})
-        elif not scopes:
-            pass
-        elif line.startswith("oneof "):
-            scopes[-1]["union"] = line[6:].split("{")[0].strip()
-        elif line.startswith("}"):
-            if scopes[-1]["union"]:
-                scopes[-1]["union"] = None
+def statements(source: str) -> list[Statement]:
+    """The file as nested statements. A comment belongs to the statement that begins on the next line; brackets and option values keep their braces."""
+    root: list[Statement] = []
+    scopes = [Scope(root)]
+    lines: list[str] = []  # of the comment above
+    below = -1  # the line under that comment
+    line, at, nested = 0, 0, 0  # nested: brackets, and braces within them
+    fresh = True  # nothing but white space on this line so far
+    for m in _TOKEN.finditer(source):
+        gap = source.count("\n", at, m.start())
+        line, fresh = line + gap, fresh or gap > 0
+        at = m.start()
+        token, scope = m.group(), scopes[-1]
+        if m.lastgroup in ("note", "block"):
+            if fresh and m.lastgroup == "note":
+                lines = [*lines, token[2:]] if below == line else [token[2:]]
+                below = line + 1
+            elif fresh:
+                lines = [re.sub(r"(?m)^\s*\*+/?|\*/$", " ", token[2:])]
+                below = line + token.count("\n") + 1
+        else:
+            if not scope.pending and token not in "{};":
+                scope.comment = comment_text(lines) if below == line else None
+            if token in ("[", "(") or nested and token == "{":
+                nested += 1
+            elif nested and token in "])}":
+                nested -= 1
+            if nested or token not in ("{", "}", ";"):
+                scope.pending.append(token)
+            elif token == "{":
+                owner = Statement(scope.pending, scope.comment, [])
+                scope.into.append(owner)
+                scope.pending = []
+                scopes.append(Scope(owner.body, owner))
             else:
-                out.append({k: v for k, v in scopes.pop().items() if k != "union"})
-        elif line.startswith("reserved "):
-            scopes[-1]["reserved"] += [int(x) for x in (p.strip() for p in line[9:].split(";")[0].split(",")) if re.fullmatch(r"-?\d+", x)]
+                if scope.pending:
+                    scope.into.append(Statement(scope.pending, scope.comment))
+                    scope.pending = []
+                if token == "}" and len(scopes) > 1:
+                    scopes.pop().owner.closed = True
+        fresh = m.lastgroup == "note" and fresh
+        line += token.count("\n")
+        at = m.end()
+    return root
+
+
+def _retired(statement: Statement) -> bool:
+    options = "".join(statement.tokens[statement.tokens.index("[") :]) if "[" in statement.tokens else ""
+    return bool(re.search(r"[\[,]deprecated=true[\],]", options) or _RETIRED.match(statement.comment or ""))
+
+
+def _number(text: str) -> int | None:
+    return int(text) if re.fullmatch(r"-?\d+", text) else None
+
+
+def _type(tokens: list[str]) -> str:
+    return "".join(", " if t == "," else t for t in tokens)
+
+
+def _field(statement: Statement, union: str | None) -> dict | None:
+    """A field from "[label] type name = number [options]"; None for what isn't one."""
+    tokens = statement.tokens[: statement.tokens.index("[")] if "[" in statement.tokens else statement.tokens
+    label = tokens[0] if tokens[0] in LABELS and len(tokens) > 4 else None
+    head = tokens[label is not None :]
+    if len(head) < 4 or head[-2] != "=" or (number := _number(head[-1])) is None:
+        return None
+    return {"name": head[-3], "number": number, "type": _type(head[:-3]), "label": label, "oneof": union, "deprecated": _retired(statement), "comment": statement.comment}
+
+
+def _value(statement: Statement) -> dict | None:
+    tokens = statement.tokens
+    if len(tokens) < 3 or tokens[1] != "=" or (number := _number(tokens[2])) is None:
+        return None
+    return {"name": tokens[0], "number": number, "deprecated": _retired(statement)}
+
+
+def _reserved(tokens: list[str]) -> tuple[list[int], list[dict]]:
+    """Single numbers and ranges of a reserved statement; names play no part."""
+    singles, ranges = [], []
+    for part in " ".join(tokens[1:]).split(","):
+        match part.split():
+            case [one] if _number(one) is not None:
+                singles.append(int(one))
+            case [low, "to", high] if _number(low) is not None and (high == "max" or _number(high) is not None):
+                ranges.append({"low": int(low), "high": LAST_NUMBER if high == "max" else int(high)})
+    return singles, ranges
+
+
+def declared(found: list[Statement], file: str) -> list[dict]:
+    """Messages, enums and services, each after those that it holds; nested names are qualified by the outer ones. One whose brace never closes is left out."""
+    package = next((s.tokens[1] for s in found if s.tokens[:1] == ["package"] and len(s.tokens) > 1), "")
+    out: list[dict] = []
+    todo = [(True, package, None, None, iter(found))]  # (is it closed, prefix, record of the declaration, union, rest)
+    while todo:
+        closed, prefix, record, union, rest = todo[-1]
+        for s in rest:
+            kind = s.tokens[0] if s.tokens else ""
+            if s.body is not None and kind in DECLARATIONS and len(s.tokens) > 1:
+                name = f"{prefix}.{s.tokens[1]}" if prefix else s.tokens[1]
+                made = {"name": name, "kind": kind, "file": file, "deprecated": bool(_RETIRED.match(s.comment or "")), "comment": s.comment, "fields": [], "values": [], "reserved": [], "reserved_ranges": []}
+                todo.append((s.closed, name, made, None, iter(s.body)))
+                break
+            if record is None:
+                continue
+            if s.body is not None:
+                if kind == "oneof" and len(s.tokens) > 1:
+                    todo.append((s.closed, prefix, record, s.tokens[1], iter(s.body)))
+                    break
+            elif kind == "reserved":
+                singles, ranges = _reserved(s.tokens)
+                record["reserved"] += singles
+                record["reserved_ranges"] += ranges
+            elif record["kind"] == "enum":
+                record["values"] += [v for v in [_value(s)] if v]
+            elif kind != "option":
+                record["fields"] += [f for f in [_field(s, union)] if f]
         else:
-            retired = bool(re.search(r"\[\s*deprecated\s*=\s*true\s*\]", line) or _RETIRED.match(comment or ""))
-            union = scopes[-1]["union"]
-            if scopes[-1]["kind"] == "enum":
-                if m := _VALUE.match(line):
-                    scopes[-1]["values"].append({"name": m[1], "number": int(m[2]), "deprecated": retired})
-            elif m := _FIELD.match(line):
-                scopes[-1]["fields"].append({"name": m[3], "number": int(m[4]), "type": m[2].strip(), "label": m[1].strip() if m[1] else None, "oneof": union, "deprecated": retired, "comment": comment})
+            todo.pop()
+            if record is not None and union is None and closed:
+                out.append(record)
     return out
 
 
+def parse(file: str, source: str) -> list[dict]:
+    return declared(statements(source), file)
+
+
 def messages(files: DataFrame) -> DataFrame:
-    """(path, text) rows of definition files -> one row a message, enum or service, as in SCHEMA. The parser keeps a stack, so it runs in Python, a file at a time."""
+    """(path, text) rows of definition files -> one row a message, enum or service, as in SCHEMA. Statements nest, so this runs in Python, a file at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = pa.struct([("name", pa.string()), ("number", pa.int32()), ("type", pa.string()), ("label", pa.string()), ("oneof", pa.string()), ("deprecated", pa.bool_()), ("comment", pa.string())])
-        value = pa.struct([("name", pa.string()), ("number", pa.int32()), ("deprecated", pa.bool_())])
-        schema = pa.schema([("name", pa.string()), ("kind", pa.string()), ("file", pa.string()), ("deprecated", pa.bool_()), ("comment", pa.string()), ("fields", pa.list_(field)), ("values", pa.list_(value)), ("reserved", pa.list_(pa.int32()))])
         for batch in batches:
             rows = [m for path, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for m in parse(path, text or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return files.select("path", "text").mapInArrow(run, SCHEMA)

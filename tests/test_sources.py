@@ -97,6 +97,37 @@ def test_wire_files(spark):
     assert [(v.name, v.number, v.deprecated) for v in got["w.v1.Thing.Kind"]["values"]] == [("NONE", 0, False), ("NEG", -1, True)]
 
 
+def test_wire_statements():
+    one = wire.parse("f", 'package a.b;\nmessage One { int32 x = 1; message In { string y = 2; } oneof u { bool b = 3; In i = 4 [deprecated = true, json_name = "q}"]; } reserved 5, 7 to 9, 20 to max, "old"; }')
+    assert [m["name"] for m in one] == ["a.b.One.In", "a.b.One"]
+    assert [(f["name"], f["oneof"], f["deprecated"]) for f in one[1]["fields"]] == [("x", None, False), ("b", "u", False), ("i", "u", True)]
+    assert one[1]["reserved"] == [5] and one[1]["reserved_ranges"] == [{"low": 7, "high": 9}, {"low": 20, "high": 536870911}]
+    text = """// far above
+
+// Deprecated: use Two.
+message One {
+  // first
+  // and second
+  repeated a.B items = 1 [(x.opt) = { min: 1 }]; // trailing
+  int32 plain = 2;
+  /* block
+   * comment */
+  map< string,Other > m = 3;
+  option deprecated = true;
+}
+service S { rpc Call(One) returns (One) {} }
+enum E { option allow_alias = true; A = 0; B = -1 [deprecated=true]; }
+// broken to the end
+message Open { string s = 1; """
+    one, service, enum = wire.parse("f", text)
+    assert one["deprecated"] and one["comment"] == "Deprecated: use Two."
+    assert [(f["name"], f["type"], f["label"], f["comment"]) for f in one["fields"]] == [("items", "a.B", "repeated", "first and second"), ("plain", "int32", None, None), ("m", "map<string, Other>", None, "block comment")]
+    assert (service["kind"], service["fields"]) == ("service", []) and [(v["name"], v["number"], v["deprecated"]) for v in enum["values"]] == [("A", 0, False), ("B", -1, True)]
+    assert wire.parse("f", "") == wire.parse("f", "}}; { ; ] = message") == [] and wire.parse("f", "message " * 3) == []
+    deep = wire.parse("f", "message M { " * 3000 + "}" * 3000)
+    assert len(deep) == 3000 and deep[-1]["name"] == "M"
+
+
 OLD = """groups:
   - id: base
     type: attribute_group
