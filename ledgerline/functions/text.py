@@ -137,10 +137,11 @@ def namespace(name: Column) -> Column:
     return F.substring_index(name, ".", 1)
 
 
-def version_key(version: Column, parts: int = 6) -> Column:
-    """Sort key: numbers between dots and hyphens, missing ones 0, so that 1.2 equals 1.2.0; what is no number counts 0."""
-    numbers = F.transform(F.split(version, r"[.-]"), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), parts)), 1, parts)
+def version_key(version: Column) -> Column:
+    """Sort key: all numbers between dots and hyphens, without zeros at the end, so that 1.2 equals 1.2.0; what is no number counts 0."""
+    numbers = F.transform(F.split(version, r"[.-]"), lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
+    last = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    return F.slice(numbers, F.lit(1), last)
 
 
 def version_label(version: Column) -> Column:

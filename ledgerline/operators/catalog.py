@@ -153,12 +153,19 @@ def down_to_floor(commits: DataFrame, floor: str) -> DataFrame:
 
 
 def day_versions(commits: DataFrame, taken: DataFrame) -> DataFrame:
-    """Versions for kept commits (source, position, day): the day, or the day with .2, .3 ... past those taken (source, version)."""
+    """Versions for kept commits (source, position, day): the first of day, day.2, day.3, ... that neither a taken version (source, version) nor an earlier commit has.
+
+    The n-th commit of a day gets the day's n-th free version, so both are numbered and joined.
+    """
     day = F.regexp_extract("version", r"^(\d{4}-\d{2}-\d{2})(?:\.\d+)?$", 1)
-    used = taken.where(day != "").groupBy("source", day.alias("day")).agg(F.count("*").alias("used"))
-    n = F.row_number().over(Window.partitionBy("source", "day").orderBy("position")) + F.coalesce("used", F.lit(0))
-    rows = commits.join(used, ["source", "day"], "left").withColumn("n", n)
-    return rows.withColumn("version", F.when(F.col("n") == 1, F.col("day")).otherwise(F.concat("day", F.lit("."), F.col("n").cast("string")))).drop("used", "n")
+    used = taken.where(day != "").select("source", day.alias("day"), "version").distinct()
+    wanted = commits.groupBy("source", "day").agg(F.count("*").alias("n")).join(used.groupBy("source", "day").agg(F.count("*").alias("used")), ["source", "day"], "left")
+    slots = wanted.select("source", "day", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.coalesce("used", F.lit(0)))).alias("slot"))
+    slots = slots.withColumn("version", F.when(F.col("slot") == 1, F.col("day")).otherwise(F.concat("day", F.lit("."), F.col("slot").cast("string"))))
+    free = slots.join(used, ["source", "day", "version"], "left_anti")
+    free = free.withColumn("turn", F.row_number().over(Window.partitionBy("source", "day").orderBy("slot"))).drop("slot")
+    rows = commits.withColumn("turn", F.row_number().over(Window.partitionBy("source", "day").orderBy("position")))
+    return rows.join(free, ["source", "day", "turn"]).drop("turn")
 
 
 def pending(wanted: DataFrame, present: DataFrame, floor: str | None = None) -> DataFrame:

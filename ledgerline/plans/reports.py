@@ -82,15 +82,21 @@ _GATE = """SELECT source, position FROM (SELECT *, lag(a) OVER w AS a0, lag(b) O
 WINDOW w AS (PARTITION BY source ORDER BY position)) WHERE a0 IS NULL OR a <> a0 OR b <> b0"""
 
 
+_SUFFIX = "CASE position % 40 WHEN 0 THEN '' WHEN 1 THEN '.2' WHEN 2 THEN '.4' WHEN 3 THEN '.5' END"  # taken versions have gaps
+
+
 def day_versions(spark, sf):
     rows = X.read(spark, sf, "events").selectExpr("event_type AS source", "event_id AS position", "date_format(ts, 'yyyy-MM-dd') AS day")
-    taken = rows.where("position % 40 = 0").selectExpr("source", "day AS version").distinct()
-    return catalog.day_versions(rows.where("position % 40 <> 0"), taken).select("source", "position", "version")
+    taken = rows.where("position % 40 <= 3").selectExpr("source", f"concat(day, {_SUFFIX}) AS version").distinct()
+    return catalog.day_versions(rows.where("position % 40 > 3"), taken).select("source", "position", "version")
 
 
-_DAY_VERSIONS = """WITH e AS (SELECT event_type AS source, event_id AS position, strftime(ts, '%Y-%m-%d') AS day FROM events), t AS (SELECT DISTINCT source, day FROM e WHERE position % 40 = 0),
-n AS (SELECT e.source, e.position, e.day, row_number() OVER (PARTITION BY e.source, e.day ORDER BY position) + CASE WHEN t.day IS NULL THEN 0 ELSE 1 END AS n FROM e LEFT JOIN t ON e.source = t.source AND e.day = t.day WHERE position % 40 <> 0)
-SELECT source, position, CASE WHEN n = 1 THEN day ELSE day || '.' || n END AS version FROM n"""
+_DAY_VERSIONS = f"""WITH e AS (SELECT event_type AS source, event_id AS position, strftime(ts, '%Y-%m-%d') AS day FROM events), t AS (SELECT DISTINCT source, concat(day, {_SUFFIX}) AS version FROM e WHERE position % 40 <= 3),
+c AS (SELECT source, day, position, row_number() OVER (PARTITION BY source, day ORDER BY position) AS turn FROM e WHERE position % 40 > 3),
+s AS (SELECT source, day, unnest(range(1, n + 5)) AS slot FROM (SELECT source, day, count(*) AS n FROM c GROUP BY ALL)),
+v AS (SELECT source, day, slot, CASE WHEN slot = 1 THEN day ELSE day || '.' || slot END AS version FROM s),
+f AS (SELECT source, day, version, row_number() OVER (PARTITION BY source, day ORDER BY slot) AS turn FROM v WHERE (source, version) NOT IN (SELECT (source, version) FROM t))
+SELECT source, position, version FROM c JOIN f USING (source, day, turn)"""
 
 
 def resumed(spark, sf):
