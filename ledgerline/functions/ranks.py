@@ -79,8 +79,60 @@ STOP = "a an and are as at be by do does did for from has have how i in is it it
 DEPRECATION = r"(?i)\b(deprecat|renam|still|replac|old|legacy|instead|success)"
 # Thresholds of the prose diff.
 REWORDED, MOVED, REWRITTEN_SHARE, REWRITTEN_CHARS = 0.6, 0.85, 0.33, 200
-# How a change or a stability is shown.
+# How values are shown: demand levels in a sentence, stabilities, severities, kinds of change, counted wire changes (one, many), entry types, groups of entries.
 LABELS = {"release_candidate": "release candidate", "opt_in": "opt in", "conditionally_required": "conditionally required"}
+STABILITY_LABELS = {
+    "stable": "Stable",
+    "release_candidate": "Release candidate",
+    "development": "Development",
+    "experimental": "Experimental",
+    "alpha": "Alpha",
+    "deprecated": "Deprecated",
+}
+SEVERITY_LABELS = {"breaking": "Breaking", "notable": "Notable", "informational": "Editorial"}
+KIND_LABELS = {
+    "added": "added",
+    "removed": "removed",
+    "renamed": "renamed",
+    "deprecated": "deprecated",
+    "undeprecated": "un-deprecated",
+    "stability-changed": "stability",
+    "type-changed": "type",
+    "unit-changed": "unit",
+    "instrument-changed": "instrument",
+    "enum-members-changed": "enum",
+    "brief-changed": "wording",
+    "note-changed": "guidance",
+    "examples-changed": "examples",
+    "usage-changed": "usage",
+    "first-seen": "added",
+    "requirement-added": "new rule",
+    "requirement-removed": "rule dropped",
+    "requirement-reworded": "reworded",
+    "requirement-moved": "moved",
+    "requirement-level-changed": "strength",
+    "section-rewritten": "rewritten",
+    "field-added": "field added",
+    "field-removed": "field removed",
+    "field-renamed": "field renamed",
+    "field-type-changed": "field type",
+    "field-number-changed": "renumbered",
+    "field-label-changed": "cardinality",
+    "value-added": "value added",
+    "value-removed": "value removed",
+}
+WIRE_LABELS = {
+    "added": ("definition added", "definitions added"),
+    "removed": ("definition removed", "definitions removed"),
+    "field-added": ("field added", "fields added"),
+    "field-removed": ("field removed", "fields removed"),
+    "field-renamed": ("field renamed", "fields renamed"),
+    "field-number-changed": ("field renumbered", "fields renumbered"),
+    "field-type-changed": ("field retyped", "fields retyped"),
+    "field-label-changed": ("cardinality change", "cardinality changes"),
+}
+TYPE_LABELS = {t: t for t in ("attribute", "metric", "span", "event", "entity", "requirement", "otlp", "domain", "page")}
+GROUP_LABELS = {"page": "Pages", "domain": "Domains", "attribute": "Attributes", "metric": "Metrics", "span": "Spans", "event": "Events", "entity": "Entities", "otlp": "OTLP", "requirement": "Requirements"}
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -118,3 +170,16 @@ def severity(condition: Column, then: str, otherwise: str) -> Column:
 def label(value: Column) -> Column:
     """A value as it is shown: known spellings, else underscores and hyphens as spaces."""
     return F.coalesce(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[value], F.translate(value, "_-", "  "))
+
+
+def shown(table: dict[str, str], value: Column) -> Column:
+    """A value's label in one of the tables; the value itself if the table lacks it."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[value], value)
+
+
+def counted(kind: Column, n: Column) -> Column:
+    """A number of wire changes of one kind, in words; other kinds by their label."""
+    one, many = ({k: v[i] for k, v in WIRE_LABELS.items()} for i in (0, 1))
+    known = F.create_map(*[F.lit(x) for kv in one.items() for x in kv])[kind].isNotNull()
+    words = F.when(known, F.when(n == 1, shown(one, kind)).otherwise(shown(many, kind))).otherwise(shown(KIND_LABELS, kind))
+    return F.concat(n.cast("string"), F.lit(" "), words)

@@ -72,8 +72,11 @@ def _members_key(side: str) -> Column:
     return F.array_join(F.array_sort(F.transform(F.coalesce(F.col(f"{side}.enum_members"), F.array()), lambda m: F.concat(m["id"], F.lit("="), m["value"]))), ",")
 
 
-def attribute_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Attributes (id, type, stability, brief, note, reason, renamed_to, deprecation_note, and optionally enum_members, examples)."""
+def attribute_changes(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Attributes (id, type, stability, brief, note, reason, renamed_to, deprecation_note, and optionally enum_members, examples).
+
+    by: columns of both sides that name a comparison; all comparisons share one join, and their changes carry the columns.
+    """
     id = F.col("id")
     both = F.col("b").isNotNull() & F.col("a").isNotNull()
     stability = F.col("a.stability")
@@ -85,40 +88,42 @@ def attribute_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     if "examples" in before.columns:
         words = lambda side: F.array_join(F.coalesce(F.col(f"{side}.examples"), F.array()), " ")
         extra.append(change(both & (words("a") != words("b")), "examples-changed", "informational", entity="attribute", id=id, stability=stability, detail="Examples changed."))
-    return emit(paired(before, after, "id"), *lifecycle_changes("attribute", id), *extra)
+    return emit(paired(before, after, *by, "id"), *lifecycle_changes("attribute", id), *extra, keep=by)
 
 
-def metric_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+def metric_changes(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Metrics: as attributes, with unit and instrument in place of the type; id is the name."""
     id = F.col("id")
     extra = [_value_change("unit-changed", "unit", "Unit", "metric", id), _value_change("instrument-changed", "instrument", "Instrument", "metric", id)]
-    return emit(paired(before, after, "id"), *lifecycle_changes("metric", id), *extra)
+    return emit(paired(before, after, *by, "id"), *lifecycle_changes("metric", id), *extra, keep=by)
 
 
-def signal_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    return emit(paired(before, after, "id"), *lifecycle_changes("signal", F.col("id")))
+def signal_changes(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Spans, events and entities (id, stability, brief, note, reason, renamed_to, deprecation_note)."""
+    return emit(paired(before, after, *by, "id"), *lifecycle_changes("signal", F.col("id")), keep=by)
 
 
-def effective_usage(edges: DataFrame) -> DataFrame:
+def effective_usage(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, signal, level, ordinal) edges: of several levels on one signal the last, at the first one's place."""
-    return last_wins(edges.select("id", "signal", "level", "ordinal"), ["id", "signal"], "ordinal")
+    return last_wins(edges.select(*by, "id", "signal", "level", "ordinal"), [*by, "id", "signal"], "ordinal")
 
 
-def usage_changes(before: DataFrame, after: DataFrame, attributes: DataFrame) -> DataFrame:
+def usage_changes(before: DataFrame, after: DataFrame, attributes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Usage edges of two versions, and the attributes present in both with their new stability (id, stability).
 
     One change an attribute for levels that moved, for signals gained and for signals lost; each names the first ones.
     """
-    edges = paired(effective_usage(before), effective_usage(after), "id", "signal")
+    edges = paired(effective_usage(before, by), effective_usage(after, by), *by, "id", "signal")
+    key = [*by, "id", "what"]
     old, new = F.col("b.level"), F.col("a.level")
     kind = F.when(F.col("b").isNull(), "gained").when(F.col("a").isNull(), "lost").when(old != new, "moved")
     rank = lambda level: lookup(DEMAND, level, 1)
-    classed = edges.select("id", "signal", kind.alias("what"), old.alias("old"), new.alias("new"), F.coalesce("a.ordinal", "b.ordinal").alias("ordinal")).where("what IS NOT NULL")
-    counts = classed.groupBy("id", "what").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(rank(F.col("new")) > rank(F.col("old"))), F.lit(False)).alias("strengthened"), F.coalesce(F.bool_or(rank(F.col("new")) >= 2), F.lit(False)).alias("obliged"))
+    classed = edges.select(*by, "id", "signal", kind.alias("what"), old.alias("old"), new.alias("new"), F.coalesce("a.ordinal", "b.ordinal").alias("ordinal")).where("what IS NOT NULL")
+    counts = classed.groupBy(*key).agg(F.count("*").alias("n"), F.coalesce(F.bool_or(rank(F.col("new")) > rank(F.col("old"))), F.lit(False)).alias("strengthened"), F.coalesce(F.bool_or(rank(F.col("new")) >= 2), F.lit(False)).alias("obliged"))
     # only two names are shown: the rank filter is applied on both sides of the shuffle, so no list grows with an attribute's edges
-    place = F.row_number().over(Window.partitionBy("id", "what").orderBy("ordinal", "signal"))
-    first = classed.withColumn("place", place).where("place <= 2").groupBy("id", "what").agg(F.array_sort(F.collect_list(F.struct("place", "signal", "old", "new"))).alias("first"))
-    found = counts.join(first, ["id", "what"]).join(attributes.select("id", "stability"), "id")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "signal"))
+    first = classed.withColumn("place", place).where("place <= 2").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "signal", "old", "new"))).alias("first"))
+    found = counts.join(first, key).join(attributes.select(*by, "id", "stability"), [*by, "id"])
     words = lambda x: F.replace(x, F.lit("_"), F.lit(" "))
     stable, what = is_stable(F.col("stability")), F.col("what")
     names = signal_list(F.col("first.signal"), F.col("n"))
@@ -129,6 +134,7 @@ def usage_changes(before: DataFrame, after: DataFrame, attributes: DataFrame) ->
         change(what == "moved", "requirement-level-changed", severity(stable & F.col("strengthened"), "notable", "informational"), detail=F.concat(F.lit("On "), names, F.lit(": "), words(was), F.lit(" to "), words(now), F.lit(".")), from_value=was, to_value=now, **common),
         change(what == "gained", "usage-changed", severity(stable & F.col("obliged"), "notable", "informational"), detail=F.concat(F.lit("Now referenced by "), names, F.lit(" ("), words(now), F.lit(").")), **common),
         change(what == "lost", "usage-changed", "informational", detail=F.concat(F.lit("No longer referenced by "), names, F.lit(".")), **common),
+        keep=by,
     )
 
 
