@@ -52,8 +52,8 @@ def visible(rows: DataFrame, untagged: list[str]) -> DataFrame:
 
 
 def activity(rows: DataFrame) -> DataFrame:
-    """Bars of an activity chart over the feed: height from 0 to 1 by square root, place from 0 to 1 by date."""
-    sizes = rows.select("*", (F.col("breaking") + F.col("notable") + F.col("informational")).alias("total"), F.unix_timestamp(F.to_timestamp("published_at")).alias("t"))
+    """Bars of an activity chart over the feed: height from 0 to 1 by square root, place from 0 to 1 by date. Versions without a date have no place and no bar."""
+    sizes = rows.where("published_at <> ''").select("*", (F.col("breaking") + F.col("notable") + F.col("informational")).alias("total"), F.unix_timestamp(F.to_timestamp("published_at")).alias("t"))
     ends = sizes.agg(F.max("total").alias("peak"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     out = sizes.crossJoin(F.broadcast(ends))  # one row

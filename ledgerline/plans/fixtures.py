@@ -125,7 +125,7 @@ def _field(v: int) -> tuple[dict[str, str], str, str]:
         "deprecated": f"({o} + {n}) % 29 < {v}",
         "ordinal": n,
     }
-    return columns, f"({o} + {n} + {v}) % 31 <> 0 AND {o} % 3 <> 0", f"{o}, {n}"
+    return columns, f"({o} + {n} + {v}) % 31 <> 0", f"{o}, {n}"
 
 
 def fields(spark, sf_dir: str, v: int) -> DataFrame:
@@ -158,14 +158,14 @@ REQUIREMENTS_SQL = f"""
 SELECT left(sha256(section || '|' || lower(text)), 12) AS id, level, text, section, path, ordinal FROM (
   SELECT section, path, ordinal, text, {_LEVEL} AS level FROM (
     SELECT section, path, unnest(range(len(parts))) AS ordinal, trim(unnest(parts)) AS text FROM (
-      SELECT concat(source, '.md#', cast(doc_id AS string)) AS section, concat(source, '.md') AS path, regexp_split_to_array(text, '\\n|[.!?]\\s+') AS parts FROM documents WHERE lang = 'en'))
+      SELECT concat(source, '.md#', cast(doc_id AS string)) AS section, concat(source, '.md') AS path, regexp_split_to_array(text, '\\n|[.!?]\\s+') AS parts FROM documents))
 ) WHERE level IS NOT NULL"""
 
 
 def requirements(spark, sf_dir: str) -> DataFrame:
     from ledgerline.sources.prose import plain_requirements
 
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = read(spark, sf_dir, "documents")
     path = F.concat("source", F.lit(".md"))
     found = plain_requirements(docs, LEXICON, section=F.concat(path, F.lit("#"), F.col("doc_id").cast("string")), text=F.col("text"))
     return found.withColumn("path", F.substring_index("section", "#", 1))

@@ -36,8 +36,9 @@ def pending(spark, sf):
 
 
 def _releases(spark, sf):
+    """Releases, some of which have no date."""
     rows = X.events(spark, sf).groupBy("source", "version").agg(F.min("published_at").alias("published_at"))
-    return rows.where("version NOT LIKE '1.7.%'")
+    return rows.withColumn("published_at", F.expr("CASE WHEN version NOT LIKE '1.7.%' THEN published_at END"))
 
 
 def _feed(spark, sf):
@@ -49,7 +50,7 @@ def release_feed(spark, sf):
 
 
 def release_activity(spark, sf):
-    return catalog.activity(_feed(spark, sf).where("published_at <> ''")).select("source", "version", "total", F.round("height", 4).alias("height"), F.round("place", 4).alias("place"))
+    return catalog.activity(_feed(spark, sf)).select("source", "version", "total", F.round("height", 4).alias("height"), F.round("place", 4).alias("place"))
 
 
 _FEED = f"""WITH e AS ({X.EVENTS_SQL}), r AS (SELECT source, version, min(published_at) AS published_at FROM e WHERE version NOT LIKE '1.7.%' GROUP BY ALL),
@@ -61,7 +62,7 @@ SELECT source, version, total, round(sqrt(total::double / max(total) OVER ()), 4
 
 
 def last_incompatible(spark, sf):
-    return catalog.last_incompatible(X.events(spark, sf).where("severity <> 'breaking' AND version NOT LIKE '1.39.%'"))
+    return catalog.last_incompatible(X.events(spark, sf))
 
 
 def wire_history(spark, sf):
@@ -223,8 +224,9 @@ def message_lookup(spark, sf):
     return lookup.messages_named(wanted, found)
 
 
-_MESSAGES = f"""WITH m AS ({X.messages_sql(2)}), w AS (SELECT split_part(name, '.', -1) AS wanted FROM m WHERE ordinal % 50 = 0 UNION SELECT name FROM m WHERE ordinal % 70 = 0 UNION SELECT 'no' || name FROM m WHERE ordinal % 90 = 0)
-SELECT wanted, min_by(name, (CASE WHEN name = wanted THEN 0 ELSE 1 END, ordinal)) AS name FROM w JOIN m ON m.name = w.wanted OR ends_with(m.name, '.' || w.wanted) GROUP BY wanted"""
+_MESSAGES = f"""WITH m AS ({X.messages_sql(2)}), w AS (SELECT split_part(name, '.', -1) AS wanted FROM m UNION SELECT name FROM m UNION SELECT 'no' || name FROM m),
+p AS (SELECT name, ordinal, string_split(name, '.') AS parts FROM m), k AS (SELECT name, ordinal, array_to_string(parts[i:], '.') AS wanted FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p))
+SELECT wanted, min_by(name, (CASE WHEN name = wanted THEN 0 ELSE 1 END, ordinal)) AS name FROM w JOIN k USING (wanted) GROUP BY wanted"""
 
 # usage and inheritance
 
@@ -270,7 +272,7 @@ def _signals(spark, sf):
     return X.registry(spark, sf, 2).withColumn("kind", F.element_at(F.array(*map(F.lit, ["metric", "span", "event", "entity"])), (F.col("ordinal") % 4 + 1).cast("int"))).withColumn("id", F.when(F.col("kind") == "metric", F.col("id")).otherwise(F.concat("kind", F.lit("."), "id")))
 
 
-_SIGNALS = f"SELECT *, CASE ordinal % 4 WHEN 0 THEN 'metric' WHEN 1 THEN 'span' WHEN 2 THEN 'event' ELSE 'entity' END AS kind FROM ({X.registry_sql(2)}) WHERE ordinal % 3 = 0"
+_SIGNALS = f"SELECT *, CASE ordinal % 4 WHEN 0 THEN 'metric' WHEN 1 THEN 'span' WHEN 2 THEN 'event' ELSE 'entity' END AS kind FROM ({X.registry_sql(2)})"
 
 
 def topic_rollup(spark, sf):
@@ -327,7 +329,7 @@ def signal_attributes(spark, sf):
 
 
 _SIGNAL_ATTRIBUTES = f"""WITH u AS ({X.usage_sql(1)}), e AS (SELECT * REPLACE (CASE WHEN ordinal % 2 = 0 THEN 'span.' || group_id ELSE group_id END AS group_id) FROM u),
-l AS (SELECT group_id, id, max_by(level, CASE level WHEN 'opt_in' THEN 0 WHEN 'recommended' THEN 1 WHEN 'conditionally_required' THEN 2 ELSE 3 END) AS level FROM e GROUP BY ALL), s AS (SELECT DISTINCT signal AS id, id AS attribute FROM u WHERE part % 10 = 1),
+l AS (SELECT group_id, id, max_by(level, CASE level WHEN 'opt_in' THEN 0 WHEN 'recommended' THEN 1 WHEN 'conditionally_required' THEN 2 ELSE 3 END) AS level FROM e GROUP BY ALL), s AS (SELECT DISTINCT signal AS id, id AS attribute FROM u),
 g AS (SELECT s.id, s.attribute, CASE WHEN s.id IN (SELECT group_id FROM l) THEN s.id ELSE 'span.' || s.id END AS group_id FROM s)
 SELECT g.id, 'span' AS kind, g.attribute, coalesce(l.level, 'recommended') AS level FROM g LEFT JOIN l ON l.group_id = g.group_id AND l.id = g.attribute"""
 
@@ -357,9 +359,11 @@ def _index(spark, sf):
 _META = "CASE WHEN reason IS NOT NULL THEN 'deprecated' ELSE stability END"
 _INDEX = f"""idx AS (
 SELECT 'attribute' AS type, id, brief || ' code and label' AS text, '/attributes/' || id AS url, concat_ws(' · ', {_META}, type, namespace) AS meta, renamed_to FROM ({X.registry_sql(2)})
-UNION ALL SELECT 'metric', 'metric.' || id, brief, '/metrics', concat_ws(' · ', {_META}, instrument, unit), NULL FROM ({X.registry_sql(2)}) WHERE ordinal % 5 = 0
+UNION ALL SELECT 'metric', 'metric.' || id, brief, '/metrics', concat_ws(' · ', {_META}, instrument, unit), NULL FROM ({X.registry_sql(2)})
 UNION ALL SELECT 'domain', n_name, 'Nation ' || n_name, '/topics/' || lower(n_name), n_name, NULL FROM nation
-UNION ALL SELECT 'otlp', name, coalesce(comment, ''), '/messages', kind || ' · ' || replace(file, '.proto', ''), NULL FROM ({X.messages_sql(2)}) WHERE ordinal % 10 = 0)"""
+UNION ALL SELECT 'otlp', name, coalesce(comment, ''), '/messages', kind || ' · ' || replace(file, '.proto', ''), NULL FROM ({X.messages_sql(2)}))"""
+#: Locale order of these ids: punctuation before digits before letters, underscores before dots, and case last.
+_LOCALE = "lower(replace(replace(id, '_', ' '), '.', '!')), id"
 _QUESTION = "Which standard int attribute was renamed, the stable red one?"
 _WORDS = ["standard", "int", "renamed", "stable", "red", "one"]
 
@@ -525,7 +529,7 @@ ORACLES = {
     "pending_versions": f"SELECT * FROM ({_DAYS}) WHERE day(cast(version AS date)) % 3 <> 0 AND version >= '2024-01-10'",
     "release_feed": f"{_FEED} SELECT * FROM feed WHERE source <> 'view' OR breaking + notable > 0",
     "release_activity": _ACTIVITY,
-    "last_incompatible": f"SELECT source, max_by(version, {_KEY}) AS version FROM ({X.EVENTS_SQL}) WHERE severity = 'notable' AND version NOT LIKE '1.39.%' GROUP BY source",
+    "last_incompatible": f"SELECT source, max_by(version, {_KEY}) AS version FROM ({X.EVENTS_SQL}) WHERE severity <> 'informational' GROUP BY source",
     "wire_history": f"SELECT source, version, count(*) FILTER (severity <> 'informational') AS incompatible, count(*) FILTER (severity = 'informational') AS compatible FROM ({X.EVENTS_SQL}) GROUP BY ALL",
     "recent_changes": f"SELECT source, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, event_id DESC) AS place FROM ({X.EVENTS_SQL})) WHERE place <= 6",
     "resume_unchanged_gate": _GATE,
@@ -558,4 +562,5 @@ ORACLES = {
     "search_top": f"{_SCORES} SELECT * FROM scored ORDER BY score DESC, length(id), id, url LIMIT 20",
     "search_all_terms": f"{_ranks_sql('standard', 'red')} SELECT type, id, url, rank FROM q",
     "search_per_type_counts": f"{_ranks_sql('red', 's')} SELECT type, count(*) AS n FROM q GROUP BY type",
+    "search_palette": f"{_ranks_sql('1')}, o AS (SELECT *, (rank, starts_with(meta, 'deprecated'), CASE type WHEN 'domain' THEN 0 WHEN 'attribute' THEN 1 WHEN 'metric' THEN 2 ELSE 6 END, length(id), {_LOCALE}, url) AS place FROM q), n AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY place) AS k FROM o) SELECT type, id, rank FROM n WHERE k <= 6 ORDER BY place LIMIT 28",
 }
