@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chunks import LONGEST, MEMORY, ChunkEncoder
+from ledgerline.llm.chunks import ChunkEncoder, Memory
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Adjacent pairs whose compatibility is remembered.
-PAIRS = 500_000
+PAIRS = 200_000
 #: White space as Unicode's White_Space property has it; Python's own class has four characters more.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _made: dict[str, Bpe] = {}
@@ -52,7 +52,7 @@ class Bpe:
         self.decimals = [b"%d" % i for i in range(len(self.tokens))]
         self.pieces = pattern(split).findall
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Memory()
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if self.merged(token) == [rank]:  # others never come out of merging
@@ -123,16 +123,17 @@ class Bpe:
     def parts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed; every match of the pattern by itself."""
         out, known = [], self.known
+        young = known.young
         for text in texts:
             ids: list[int] = []
             for piece in self.pieces(text):
-                found = known.get(piece)
+                found = young.get(piece)
                 if found is None:
-                    found = self.piece(piece.encode("utf-8", "surrogatepass"))
-                    if len(piece) <= LONGEST:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[piece] = found = tuple(found)
+                    found = known.get(piece)
+                    if found is None:
+                        found = tuple(self.piece(piece.encode("utf-8", "surrogatepass")))
+                        known.put(piece, found)
+                    young = known.young
                 ids += found
             out.append(array("I", ids).tobytes())
         return out

@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 #: Everything that some engine counts as white space, but for the space itself.
 _OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if (c.isspace() or c == "\x85") and c != " ")
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-#: Parts that are remembered, and the longest that is.
-MEMORY, LONGEST = 800_000, 48
+#: Parts that one generation of a memory holds, and the longest part that is remembered.
+MEMORY, LONGEST = 150_000, 48
 #: Texts are encoded in groups of about so many characters.
-GROUP = 8_000_000
+GROUP = 2_000_000
 
 
 def regular(text: str) -> bool:
@@ -36,6 +36,26 @@ def cut(text: str) -> list[str]:
     return text.split(" ") if regular(text) else _CUT.split(text)
 
 
+class Memory:
+    """Values by key in two generations: a full young one becomes the old one, and what is asked for again comes back, so that frequent keys stay however many rare ones pass."""
+
+    def __init__(self, size: int = MEMORY):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) > LONGEST:
+            return
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class ChunkEncoder:
     """encode_parts: texts -> ids of each as little-endian unsigned 32-bit integers, in bytes.
 
@@ -45,7 +65,7 @@ class ChunkEncoder:
     def __init__(self, encode_parts: Callable[[list[str]], Sequence[bytes]], encode_words: Callable[[list[str]], Sequence[bytes]] | None = None):
         self.encode_parts = encode_parts
         self.encode_words = encode_words or (lambda words: encode_parts([" " + x for x in words]))
-        self.seen: dict[str, bytes] = {}
+        self.seen = Memory()
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -57,12 +77,12 @@ class ChunkEncoder:
             if size > GROUP:
                 out += self._group(group)
                 group, size = [], 0
-        return out + (self._group(group) if group else [])
+        out += self._group(group) if group else []
+        pa.default_memory_pool().release_unused()
+        return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
         """Arrow cuts the texts and numbers their distinct parts; only those are looked up; numpy puts the ids in the texts' order."""
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
         if all(map(regular, texts)):
             parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
         else:
@@ -84,11 +104,12 @@ class ChunkEncoder:
         return [out[i:j].tobytes() for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        seen = self.seen
-        codes: list = list(map(seen.get, words))
+        codes: list = list(map(self.seen.young.get, words))
         open_ = [i for i, code in enumerate(codes) if code is None]
+        for i in open_:
+            codes[i] = self.seen.get(words[i])
+        open_ = [i for i in open_ if codes[i] is None]
         for i, code in zip(open_, self.encode_words([words[i] for i in open_]), strict=True):
             codes[i] = code
-            if len(words[i]) <= LONGEST:
-                seen[words[i]] = code
+            self.seen.put(words[i], code)
         return codes

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chunks import LONGEST, MEMORY, ChunkEncoder
+from ledgerline.llm.chunks import MEMORY, ChunkEncoder, Memory
 from ledgerline.llm.common import small_or_shuffled, stored, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -155,8 +155,7 @@ def words_encoder(path: str):
     """Ids of words that stand after a space. The library's model takes a word of letters as one piece, and a tail of marks as another; all else goes through its whole tokenizer."""
     whole, tokenize = parts_encoder(path), load(path).model.tokenize
     letters, marks = _byte_letters(), "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-    cores: dict[str, bytes] = {}
-    tails: dict[str, bytes] = {}
+    cores, tails = Memory(MEMORY // 3), Memory(MEMORY // 30)
 
     def piece(text: str) -> bytes:
         if not text.isascii():
@@ -165,10 +164,6 @@ def words_encoder(path: str):
 
     def run(words: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
-        if len(cores) > MEMORY // 2:
-            cores.clear()
-        if len(tails) > MEMORY // 50:
-            tails.clear()
         for word in words:
             core = word if word.isalpha() else word.rstrip(marks)
             if not core.isalpha():
@@ -177,13 +172,14 @@ def words_encoder(path: str):
             code = cores.get(core)
             if code is None:
                 code = array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() if core.isascii() else piece(" " + core)
-                if len(core) <= LONGEST:
-                    cores[core] = code
+                cores.put(core, code)
             if len(core) < len(word):
                 tail = word[len(core) :]
-                if tail not in tails:
-                    tails[tail] = piece(tail)
-                code += tails[tail]
+                end = tails.get(tail)
+                if end is None:
+                    end = piece(tail)
+                    tails.put(tail, end)
+                code += end
             out.append(code)
         rest = [i for i, code in enumerate(out) if code is None]
         for i, code in zip(rest, whole([" " + words[i] for i in rest]), strict=True):
