@@ -81,7 +81,7 @@ def lifecycle(seeds: DataFrame, changes: DataFrame) -> DataFrame:
         "id", "version", "published_at", F.when(added, "first-seen").otherwise(F.col("kind")).alias("kind"),
         F.when(added, F.concat(F.lit("Added as "), "stability", F.lit("."))).otherwise(F.col("detail")).alias("detail"), "severity", F.col("ordinal").cast("long").alias("ordinal"),
     )
-    order = Window.partitionBy("id").orderBy(version_key(F.col("version")), "ordinal", "kind")
+    order = Window.partitionBy("id").orderBy(version_key(F.col("version")), "ordinal", "kind", "detail")
     return first.unionByName(later).withColumn("n", F.row_number().over(order)).drop("ordinal")
 
 

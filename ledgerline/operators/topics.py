@@ -98,6 +98,6 @@ def packages(messages: DataFrame, order: DataFrame) -> DataFrame:
     """Messages of listed packages (package, ordinal), in the packages' order. Every dotted prefix of a name is an equi-join key."""
     parts = F.split("name", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    rows = messages.where(F.size(parts) > 1).withColumn("package", F.explode(prefixes)).join(order, "package")
+    rows = messages.where(F.size(parts) > 1).select("name", F.explode(prefixes).alias("package")).join(order, "package")
     best = rows.groupBy("name").agg(F.min(F.struct("ordinal", "package")).alias("p"))
     return best.select("name", "p.package", "p.ordinal").orderBy("ordinal", F.expr("name COLLATE UNICODE"))

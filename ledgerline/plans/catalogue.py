@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import diffs, reports
+from ledgerline.plans import diffs, parsers, reports, surface
 
-QUERIES = {**diffs.QUERIES, **reports.QUERIES}
-ORACLES = {**diffs.ORACLES, **reports.ORACLES}
+QUERIES = {**diffs.QUERIES, **reports.QUERIES, **parsers.QUERIES, **surface.QUERIES}
+ORACLES = {**diffs.ORACLES, **reports.ORACLES, **parsers.ORACLES, **surface.ORACLES}

@@ -35,7 +35,7 @@ _RANK = "CASE {}.stability WHEN 'stable' THEN 3 WHEN 'release_candidate' THEN 2
 _DKEY = "coalesce({0}.reason || coalesce('->' || {0}.renamed_to, ''), '')"
 
 
-def _lifecycle_sql(entity: str) -> str:
+def lifecycle_sql(entity: str) -> str:
     def row(kind: str, severity: str, side: str, detail: str, where: str, old="NULL", new="NULL", to="NULL") -> str:
         return f"SELECT '{kind}' AS kind, {severity} AS severity, '{entity}' AS entity, {side}.id AS id, {side}.stability AS stability, {detail} AS detail, {old} AS from_value, {new} AS to_value, {to} AS renamed_to FROM j WHERE {where}"
 
@@ -63,7 +63,7 @@ def _lifecycle_sql(entity: str) -> str:
 
 
 REGISTRY_SQL = f"""WITH b AS ({X.registry_sql(1)}), a AS ({X.registry_sql(2)}), j AS (SELECT a, b FROM b FULL OUTER JOIN a ON a.id = b.id),
-changes AS ({_lifecycle_sql('attribute')} UNION ALL {_lifecycle_sql('metric')})
+changes AS ({lifecycle_sql('attribute')} UNION ALL {lifecycle_sql('metric')})
 """
 
 
@@ -208,18 +208,21 @@ def requirement_extract(spark, sf):
 
 
 def _sides(spark, sf):
-    """Requirements before and after: some documents lose theirs, some get a word changed."""
+    """Requirements before and after: some documents lose theirs, some get a word changed, some another level, some go to another section."""
     rows = X.requirements(spark, sf)
     n = F.split_part("section", F.lit("#"), F.lit(2)).cast("long")
     before = rows.where(n % 10 != 1)
     text = F.when(n % 3 == 0, F.regexp_replace("text", "(?<=[a-z]) (?=[a-z]+$)", " newly ")).otherwise(F.col("text"))
-    after = rows.where(n % 10 != 2).withColumn("text", text).withColumn("id", F.substring(F.sha2(F.concat("section", F.lit("|"), F.lower("text")), 256), 1, 12))
+    level = F.when((n % 6 == 0) & (F.col("level") == "with"), "that").otherwise(F.col("level"))
+    section = F.when(n % 7 == 3, F.concat(F.substring_index("section", "#", 1), F.lit("#"), (n - 3).cast("string"))).otherwise(F.col("section"))
+    after = rows.where(n % 10 != 2).select(level.alias("level"), text.alias("text"), section.alias("section"), "ordinal").withColumn("id", F.substring(F.sha2(F.concat("section", F.lit("|"), F.lower("text")), 256), 1, 12))
     return before, after
 
 
 _AFTER = "CASE WHEN n % 3 = 0 THEN regexp_replace(text, '([a-z]) ([a-z]+)$', '\\1 newly \\2') ELSE text END"
 SIDES_SQL = f"""WITH r AS (SELECT *, cast(split_part(section, '#', 2) AS bigint) AS n FROM ({X.REQUIREMENTS_SQL})),
-b0 AS (SELECT id, level, text, section, ordinal FROM r WHERE n % 10 <> 1), a0 AS (SELECT left(sha256(section || '|' || lower(t)), 12) AS id, level, t AS text, section, ordinal FROM (SELECT *, {_AFTER} AS t FROM r WHERE n % 10 <> 2)),
+b0 AS (SELECT id, level, text, section, ordinal FROM r WHERE n % 10 <> 1), a0 AS (SELECT left(sha256(s || '|' || lower(t)), 12) AS id, CASE WHEN n % 6 = 0 AND level = 'with' THEN 'that' ELSE level END AS level, t AS text, s AS section, ordinal
+  FROM (SELECT *, {_AFTER} AS t, CASE WHEN n % 7 = 3 THEN path || '#' || (n - 3) ELSE section END AS s FROM r WHERE n % 10 <> 2)),
 b1 AS (SELECT id, max_by(text, ordinal) AS text, any_value(section) AS section FROM b0 GROUP BY id), a1 AS (SELECT id, max_by(text, ordinal) AS text, any_value(section) AS section FROM a0 GROUP BY id),
 gone AS (SELECT * FROM b1 WHERE id NOT IN (SELECT id FROM a1)), fresh AS (SELECT * FROM a1 WHERE id NOT IN (SELECT id FROM b1))
 """
@@ -240,6 +243,38 @@ PAIRS_SQL = f"""{SIDES_SQL}, g AS (SELECT id, section, {_WORDS} AS w FROM gone),
 SELECT * FROM (SELECT section, g.id AS gone, f.id AS fresh, round(len(list_intersect(g.w, f.w))::double / least(len(g.w), len(f.w)), 4) AS score, len(list_intersect(g.w, f.w))::double / least(len(g.w), len(f.w)) AS exact FROM g JOIN f USING (section)) WHERE exact > 0.6"""
 
 
+def _greedy_sql(name: str, block: str, threshold: float, gone: str, fresh: str) -> str:
+    """CTEs that settle the pairs of two tables, one removed sentence of every block a step."""
+    return f"""{name}_p AS (SELECT {block} AS block, g.id AS gone, f.id AS fresh, len(list_intersect(g.w, f.w))::double / least(len(g.w), len(f.w)) AS score, f.ordinal AS fresh_at, g.ordinal AS gone_at FROM {gone} g JOIN {fresh} f USING ({block}) WHERE len(list_intersect(g.w, f.w))::double / least(len(g.w), len(f.w)) > {threshold}),
+{name}_k AS (SELECT *, dense_rank() OVER (PARTITION BY block ORDER BY gone_at, gone) AS k FROM {name}_p),
+{name}_s AS (SELECT block, 0 AS k, NULL::varchar AS gone, NULL::varchar AS fresh, []::varchar[] AS taken FROM (SELECT DISTINCT block FROM {name}_k)
+  UNION ALL SELECT s.block, s.k + 1, p.gone, p.fresh, CASE WHEN p.fresh IS NULL THEN s.taken ELSE list_append(s.taken, p.fresh) END FROM {name}_s s
+    JOIN (SELECT block, max(k) AS last FROM {name}_k GROUP BY block) m ON m.block = s.block AND s.k < m.last
+    LEFT JOIN LATERAL (SELECT gone, fresh FROM {name}_k x WHERE x.block = s.block AND x.k = s.k + 1 AND NOT list_contains(s.taken, x.fresh) ORDER BY score DESC, fresh_at, fresh LIMIT 1) p ON true),
+{name} AS (SELECT gone, fresh FROM {name}_s WHERE fresh IS NOT NULL)"""
+
+
+_SAID = "{0}.level || ' {1}: ' || CASE WHEN length({0}.text) <= {2} THEN {0}.text ELSE left({0}.text, {2} - 1) || '...' END"
+_PROMISED = _PROMISE.format("status")
+REQUIREMENTS_SQL = f"""WITH RECURSIVE {SIDES_SQL.removeprefix('WITH ')},
+b2 AS (SELECT id, max_by(struct_pack(level := level, text := text, section := section), ordinal) AS r, min(ordinal) AS ordinal FROM b0 GROUP BY id), a2 AS (SELECT id, max_by(struct_pack(level := level, text := text, section := section), ordinal) AS r, min(ordinal) AS ordinal FROM a0 GROUP BY id),
+lost AS (SELECT id, r.level AS level, r.text AS text, r.section AS section, split_part(r.section, '#', 1) AS document, ordinal, {_WORDS.replace('text', 'r.text')} AS w FROM b2 WHERE id NOT IN (SELECT id FROM a2)),
+new AS (SELECT id, r.level AS level, r.text AS text, r.section AS section, split_part(r.section, '#', 1) AS document, ordinal, {_WORDS.replace('text', 'r.text')} AS w FROM a2 WHERE id NOT IN (SELECT id FROM b2)),
+{_greedy_sql('same', 'section', 0.6, 'lost', 'new')},
+lost2 AS (SELECT * FROM lost WHERE id NOT IN (SELECT gone FROM same)), new2 AS (SELECT * FROM new WHERE id NOT IN (SELECT fresh FROM same)),
+{_greedy_sql('moved', 'document', 0.85, 'lost2', 'new2')},
+pairs AS (SELECT gone, fresh, false AS moved FROM same UNION ALL SELECT gone, fresh, true FROM moved),
+j AS (SELECT b, a, moved FROM lost b LEFT JOIN pairs ON b.id = gone FULL OUTER JOIN new a ON a.id = fresh),
+st AS (SELECT coalesce(y.id, x.id) AS id, coalesce(y.status, x.status) AS status FROM ({_sections_sql(1)}) x FULL OUTER JOIN ({_sections_sql(2)}) y ON x.id = y.id),
+q AS (SELECT j.*, coalesce(a.section, b.section) AS section, coalesce(st.status, 'Unspecified') AS status FROM j LEFT JOIN st ON st.id = coalesce(a.section, b.section)),
+v AS (SELECT *, CASE WHEN {_PROMISED} THEN 'breaking' ELSE 'notable' END AS hard FROM q)
+SELECT 'requirement-level-changed' AS kind, hard AS severity, section AS id, status AS stability, b.level || ' relaxed to ' || {_SAID.format('a', '', 200).replace("' : '", "': '")} AS detail, b.level AS from_value, a.level AS to_value FROM v WHERE a.id IS NOT NULL AND b.id IS NOT NULL AND NOT moved AND a.level <> b.level
+UNION ALL SELECT 'requirement-reworded', 'informational', section, status, {_SAID.format('a', 'reworded', 200)}, NULL, NULL FROM v WHERE a.id IS NOT NULL AND b.id IS NOT NULL AND NOT moved AND a.level = b.level
+UNION ALL SELECT 'requirement-moved', 'informational', section, status, a.level || ' moved here from "' || split_part(b.section, '#', 2) || '": ' || CASE WHEN length(a.text) <= 200 THEN a.text ELSE left(a.text, 199) || '...' END, b.section, a.section FROM v WHERE a.id IS NOT NULL AND b.id IS NOT NULL AND moved
+UNION ALL SELECT 'requirement-removed', 'informational', section, status, {_SAID.format('b', 'removed', 220)}, NULL, NULL FROM v WHERE a.id IS NULL
+UNION ALL SELECT 'requirement-added', CASE WHEN {_PROMISED} THEN 'notable' ELSE 'informational' END, section, status, {_SAID.format('a', 'added', 220)}, NULL, NULL FROM v WHERE b.id IS NULL"""
+
+
 def requirement_changes(spark, sf):
     before, after = _sides(spark, sf)
     return prose.requirement_changes(before, after, _sections(spark, sf, 1), _sections(spark, sf, 2)).select("kind", "severity", "id", "stability", "detail", "from_value", "to_value")
@@ -283,5 +318,6 @@ ORACLES = {
     "section_rewritten": SECTIONS_SQL,
     "requirement_extract": f"SELECT id, level, section, ordinal, length(text) AS chars FROM ({X.REQUIREMENTS_SQL})",
     "requirement_sets_added_removed": f"{SIDES_SQL} SELECT 'removed' AS side, id, section FROM gone UNION ALL SELECT 'added', id, section FROM fresh",
+    "requirement_changes": REQUIREMENTS_SQL,
     "requirement_similarity_pairs": f"SELECT section, gone, fresh, score FROM ({PAIRS_SQL})",
 }
