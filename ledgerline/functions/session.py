@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +40,35 @@ def work_dir(spark: SparkSession) -> str:
     return made
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage ends at those files."""
+#: Tables that the innermost ``scratch`` deletes at its end.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the intermediate tables that are stored inside, when nothing reads them any more: after the results are written.
+
+    Frames from inside can't be read afterwards, but for those stored with ``keep``.
+    """
+    made: list[DataFrame] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for df in made:
+            drop_stored(df)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: the lineage ends at those files. keep: past the end of a ``scratch``."""
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
+    if not keep and (made := _made.get()) is not None:
+        made.append(back)
     return back
 
 

@@ -106,25 +106,42 @@ def is_commit(tag):
     return tag.rlike("^[0-9a-f]{7,40}$")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The release index as rows; empty if there is none."""
+def _editions(spark: SparkSession, path: str) -> list[str]:
+    """Complete editions of the index below ``path``, oldest first."""
     if not _exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = sorted(f.getPath().getName() for f in found if f.getPath().getName().startswith("edition="))
+    return [n for n in names if _exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete release index as rows; empty if there is none."""
+    found = _editions(spark, path)
+    if not found:
         return spark.createDataFrame([], RELEASE.replace("publishedAt", "published_at"))
-    return spark.read.schema(INDEX).json(path).select(F.inline("releases")).withColumnRenamed("publishedAt", "published_at")
+    return spark.read.schema(INDEX).json(f"{path}/{found[-1]}").select(F.inline("releases")).withColumnRenamed("publishedAt", "published_at")
 
 
 def write_index(spark: SparkSession, path: str, new: DataFrame, replace: list[str] = ()) -> DataFrame:
-    """Merge releases into the index and write it; generatedAt is the newest release's time, not the clock's."""
+    """Merge releases into the index and write it; generatedAt is the newest release's time, not the clock's.
+
+    Every write is a new edition beside the last one, which goes only when the new one is complete:
+    whenever the driver is lost, readers find one or the other. The index is one JSON document of all
+    releases, some hundred, and is made in one task.
+    """
+    found = _editions(spark, path)
     rows = upserted(read_index(spark, path), new, list(replace))
     packed = rows.select(F.struct("source", "tag", "version", F.col("published_at").alias("publishedAt"), "url", "body").alias("r"))
     order = lambda a, b: F.when(a["publishedAt"] != b["publishedAt"], F.when(a["publishedAt"] > b["publishedAt"], -1).otherwise(1)).otherwise(F.when(a["source"] < b["source"], -1).when(a["source"] > b["source"], 1).otherwise(0))
     one = packed.agg(F.max("r.publishedAt").alias("generatedAt"), F.array_sort(F.collect_list("r"), order).alias("releases"))
-    one.coalesce(1).write.mode("overwrite").json(path + ".new")
+    number = int(found[-1].partition("=")[2]) + 1 if found else 1
+    one.coalesce(1).write.mode("overwrite").json(f"{path}/edition={number:09d}")
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    files = old.getFileSystem(conf)
-    files.delete(old, True)
-    files.rename(fresh, old)
+    for name in found:
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        old.getFileSystem(conf).delete(old, True)
     return read_index(spark, path)
 
 

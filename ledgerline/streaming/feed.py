@@ -27,23 +27,28 @@ def first_seen(changes: DataFrame, *, late: str = "1 hour") -> DataFrame:
 
 
 def gate(snapshots: DataFrame) -> DataFrame:
-    """Snapshots (source, position, hash) that differ from the one before, as they arrive in order of position.
+    """(source, position, hash, late): snapshots (source, position, hash) that differ from the one before them.
 
-    State is one hash and position a source. A row at or before the position that is held was decided on already.
+    State is one hash and position a source. A snapshot that comes in a later batch than one of its
+    source with the same or a higher position can't be placed any more: it comes out with late
+    true, so that nothing goes unseen, and changes no state. A source's rows of a batch are one
+    task's; sources are few to a batch and many over all.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, at = state.get if state.exists else (None, -1)
-        kept = []
-        for row in pd.concat(list(frames)).sort_values("position").itertuples():
-            if row.position > at:
-                if held is None or row.hash != held:
-                    kept.append((key[0], int(row.position), int(row.hash)))
-                held, at = int(row.hash), int(row.position)
-        state.update((held, at))
-        yield pd.DataFrame(kept, columns=["source", "position", "hash"])
-
-    return snapshots.groupBy("source").applyInPandasWithState(run, "source string, position long, hash long", "hash long, position long", "append", GroupStateTimeout.NoTimeout)
+        held, at = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values("position", kind="stable")[["source", "position", "hash"]]
+        late = rows["position"] <= at if at is not None else pd.Series(False, index=rows.index)
+        fresh = rows[~late].drop_duplicates("position")
+        before = fresh["hash"].shift()
+        changed = fresh["hash"].ne(before) | before.isna()
+        if len(fresh):
+            if held is not None:
+                changed.iloc[0] = int(fresh["hash"].iloc[0]) != held
+            state.update((int(fresh["hash"].iloc[-1]), int(fresh["position"].iloc[-1])))
+        yield pd.concat([fresh[changed].assign(late=False), rows[late].assign(late=True)])
+
+    return snapshots.groupBy("source").applyInPandasWithState(run, "source string, position long, hash long, late boolean", "hash long, position long", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(merge: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:

@@ -1,10 +1,11 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import registry as ops
-from ledgerline.sources import prose, registry, snapshots, wire
+from ledgerline.sources import archives, dimensions, prose, registry, snapshots, wire
 
 
 def texts(body):
@@ -251,3 +252,42 @@ def test_releases_and_outputs(spark):
     assert json.loads(snapshots.as_json(feed).first().value) == {"source": "a", "version": "1", "published_at": "2024-01"}
     counts = spark.createDataFrame([("a", 3, 2, "1", "2")], "source string, entries int, versions int, first string, last string")
     assert snapshots.summary(counts).first().value == "a: 3 entries, 2 versions, 1 to 2"
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    for tag in ("a", "b"):
+        with tarfile.open(tmp_path / f"{tag}.tar.gz", "w:gz") as tar:
+            for name, text in ((f"repo-{tag}/docs/x.md", f"# {tag}"), (f"repo-{tag}/model/m.yaml", "groups: []"), (f"repo-{tag}/../up.md", "no"), ("/etc/x.md", "no")):
+                info = tarfile.TarInfo(name)
+                info.size = len(text)
+                tar.addfile(info, io.BytesIO(text.encode()))
+            link = tarfile.TarInfo(f"repo-{tag}/docs/l.md")
+            link.type, link.linkname = tarfile.SYMTYPE, "/etc/passwd"
+            tar.addfile(link)
+    found = archives.unpacked(archives.read_archives(spark, str(tmp_path)))
+    assert sorted((r.archive, r.path, bytes(r.content).decode()) for r in found.collect()) == [("a.tar.gz", "docs/x.md", "# a"), ("a.tar.gz", "model/m.yaml", "groups: []"), ("b.tar.gz", "docs/x.md", "# b"), ("b.tar.gz", "model/m.yaml", "groups: []")]
+    assert sorted(r.text for r in archives.texts(archives.unpacked(archives.read_archives(spark, str(tmp_path)), r"\.md$")).collect()) == ["# a", "# b"]
+
+
+def test_index_survives_a_lost_driver(spark, tmp_path):
+    path = str(tmp_path / "index")
+    new = spark.createDataFrame([("s", "t1", "1", "2024-01-01", "u", "b")], "source string, tag string, version string, published_at string, url string, body string")
+    snapshots.write_index(spark, path, new)
+    (tmp_path / "index" / "edition=000000002").mkdir()  # a write that was cut off
+    assert [r.tag for r in snapshots.read_index(spark, path).collect()] == ["t1"]
+    assert snapshots.write_index(spark, path, new.selectExpr("source", "'t2' AS tag", "version", "published_at", "url", "body")).count() == 2
+
+
+def test_dimensions(spark, tmp_path):
+    owned = {r.namespace: r.slug for r in dimensions.owners(dimensions.topics(spark)).collect()}
+    assert owned["db"] == "database" and owned["anthropic"] == "gen-ai" and dimensions.topics(spark).count() == 16 and dimensions.sources(spark).where("unreleased").count() == 1
+    (tmp_path / "t.json").write_text('{"slug": "a", "title": "A", "blurb": "b", "namespaces": ["x", "y"]}\n{"slug": "b", "title": "B", "namespaces": ["x"]}\n')
+    made = dimensions.read_topics(spark, str(tmp_path / "t.json"))
+    with pytest.raises(Exception, match="two topics own"):
+        dimensions.owners(made).collect()
+    assert dimensions.owners(made.where("slug = 'a'")).count() == 2
+    (tmp_path / "r.json").write_text('{"slug": "a", "title": "A", "level": "MUST", "text": "t", "anchor": "x", "document": "d.md"}\n')
+    assert dimensions.read_rules(spark, str(tmp_path / "r.json")).first().url == "d.md#x"

@@ -20,7 +20,7 @@ def finish(df, tmp_path, name, mode="append"):
 def test_gate(spark, tmp_path):
     rows = [("a", 1, 5), ("a", 2, 5), ("a", 3, 6), ("b", 1, 9)], [("a", 3, 6), ("a", 4, 6), ("a", 5, 5), ("b", 2, 9)]
     got = finish(feed.gate(streamed(spark, tmp_path, rows, "source string, position long, hash long")), tmp_path, "gated")
-    assert sorted((r.source, r.position) for r in got) == [("a", 1), ("a", 3), ("a", 5), ("b", 1)]
+    assert sorted((r.source, r.position, r.late) for r in got) == [("a", 1, False), ("a", 3, False), ("a", 3, True), ("a", 5, False), ("b", 1, False)]
 
 
 def test_windows_and_first_seen(spark, tmp_path):
