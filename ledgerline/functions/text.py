@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import LEVELS, PREFIXES, STOP
 
+# Patterns that define what counts as a link, a key, noise in Markdown, emphasis, a code span, a status line, and a question.
 LINK = r"\[([^\]]*)\]\([^)]*\)"
 KEY = r"^[a-z][a-z0-9_]*(\.[a-z0-9_-]+)+$"
+NOISE = (r"(?s)<!---.*?--->", r"(?s)<details>.*?</details>", r"(?s)<!--\s*START doctoc.*?END doctoc\s*-->", r"(?s)```.*?```", r"(?s)<!--.*?-->")
+EMPHASIS = (r"(?<![A-Za-z0-9_])__(?=\S)(.+?)(?<=\S)__(?![A-Za-z0-9_])", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<![A-Za-z0-9_])_(?=\S)(.+?)(?<=\S)_(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9*])\*(?=\S)([^*]+?)(?<=\S)\*(?![A-Za-z0-9*])")
+CODE = r"`+[^`]*`+"
+STATUS = r"\*\*Status\*\*:\s*\[?([A-Za-z ]+?)\]?[(,\n]"
+QUESTION = r"(?i)^(what|which|how|is|are|does|do|did|why|when|where|should|can|has|was|were)\b"
 
 
 def truncate(text: Column, size: int = 160, mark: str = "...") -> Column:
@@ -38,7 +44,7 @@ def slug(title: Column) -> Column:
 
 def strip_noise(markdown: Column) -> Column:
     """Markdown without front matter, details, tables of contents, fenced code and comments, in that order."""
-    for pattern in (r"(?s)<!---.*?--->", r"(?s)<details>.*?</details>", r"(?s)<!--\s*START doctoc.*?END doctoc\s*-->", r"(?s)```.*?```", r"(?s)<!--.*?-->"):
+    for pattern in NOISE:
         markdown = F.regexp_replace(markdown, pattern, "")
     return markdown
 
@@ -48,12 +54,11 @@ def strip_emphasis(text: Column) -> Column:
 
     Code spans are taken out by splitting on them, and put back in order.
     """
-    span = r"`+[^`]*`+"
-    plain = F.split(text, span)
-    spans = F.regexp_extract_all(text, F.lit(span), F.lit(0))
+    plain = F.split(text, CODE)
+    spans = F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
 
     def bare(part: Column) -> Column:
-        for pattern in (r"(?<![A-Za-z0-9_])__(?=\S)(.+?)(?<=\S)__(?![A-Za-z0-9_])", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<![A-Za-z0-9_])_(?=\S)(.+?)(?<=\S)_(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9*])\*(?=\S)([^*]+?)(?<=\S)\*(?![A-Za-z0-9*])"):
+        for pattern in EMPHASIS:
             part = F.regexp_replace(part, pattern, "$1")
         return part
 
@@ -71,7 +76,7 @@ def level(sentence: Column, levels: list[str] = LEVELS) -> Column:
 
 def status(markdown: Column) -> Column:
     """A document's status line, of the text as it came."""
-    found = F.trim(F.regexp_extract(markdown, r"\*\*Status\*\*:\s*\[?([A-Za-z ]+?)\]?[(,\n]", 1))
+    found = F.trim(F.regexp_extract(markdown, STATUS, 1))
     return F.coalesce(F.nullif(found, F.lit("")), F.lit("Unspecified"))
 
 
@@ -119,7 +124,7 @@ def query_terms(raw: Column) -> Column:
 def is_question(raw: Column) -> Column:
     """Is a query a question rather than something to look up?"""
     q = F.trim(raw)
-    asks = q.endswith("?") | q.rlike(r"(?i)^(what|which|how|is|are|does|do|did|why|when|where|should|can|has|was|were)\b")
+    asks = q.endswith("?") | q.rlike(QUESTION)
     return (F.length(q) >= 8) & (asks | ((F.size(F.split(q, r"\s+")) >= 4) & ~q.rlike(r"^[a-z]+:")))
 
 

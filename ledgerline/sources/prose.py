@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import LEVELS
-from ledgerline.functions.text import level, normal, slug, statement_id, status, strip_noise
+from ledgerline.functions.text import CODE, EMPHASIS, LINK, level, normal, slug, statement_id, status, strip_noise
 
+# What ends a block, a list marker, and where a sentence may end.
 _BLOCK = re.compile(r"\n\s*\n|\n(?=\s*[-*+]\s)|\n(?=\s*\d+\.\s)")
 _MARKER = re.compile(r"^(\s*)(?:[-*+]|\d+\.)\s+")
+_STOP = re.compile(r"(?<=[.!?])\s+(?=[A-Z`\[(])")
 # Abbreviations after which a sentence goes on.
 _ABBREVIATIONS = ("e.g.", "i.e.", "etc.", "vs.", "cf.", "resp.", "approx.", "Fig.", "no.", "No.")
-_STOP = re.compile(r"(?<=[.!?])\s+(?=[A-Z`\[(])")
 LONGEST = 600
 
 
@@ -105,13 +106,13 @@ def statements(body: str, plain, levels: list[str] = LEVELS) -> list[tuple[str,
     return list(out.values())
 
 
-_CODE = re.compile(r"(`+[^`]*`+)")
-_MARKS = [re.compile(p) for p in (r"(?<![A-Za-z0-9_])__(?=\S)(.+?)(?<=\S)__(?![A-Za-z0-9_])", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<![A-Za-z0-9_])_(?=\S)(.+?)(?<=\S)_(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9*])\*(?=\S)([^*]+?)(?<=\S)\*(?![A-Za-z0-9*])")]
+_CODE = re.compile(f"({CODE})")
+_MARKS = [re.compile(p) for p in EMPHASIS]
 
 
 def plain_text(text: str) -> str:
     """``functions.text.normal`` for one string, for use inside ``statements``."""
-    parts = _CODE.split(re.sub(r"\s+", " ", re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)))
+    parts = _CODE.split(re.sub(r"\s+", " ", re.sub(LINK, r"\1", text)))
     for i in range(0, len(parts), 2):
         for mark in _MARKS:
             parts[i] = mark.sub(r"\1", parts[i])
