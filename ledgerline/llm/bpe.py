@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chunks import ChunkEncoder, Memory
+from ledgerline.llm.chunks import LONGEST, ChunkEncoder, Memory
 from ledgerline.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Adjacent pairs whose compatibility is remembered.
-PAIRS = 200_000
+PAIRS = 500_000
 #: White space as Unicode's White_Space property has it; Python's own class has four characters more.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _made: dict[str, Bpe] = {}
@@ -122,18 +122,17 @@ class Bpe:
 
     def parts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed; every match of the pattern by itself."""
-        out, known = [], self.known
-        young = known.young
+        self.known.turn()
+        out, young, old = [], self.known.young, self.known.old
         for text in texts:
             ids: list[int] = []
             for piece in self.pieces(text):
                 found = young.get(piece)
                 if found is None:
-                    found = known.get(piece)
-                    if found is None:
+                    if (found := old.get(piece)) is None:
                         found = tuple(self.piece(piece.encode("utf-8", "surrogatepass")))
-                        known.put(piece, found)
-                    young = known.young
+                    if len(piece) <= LONGEST:
+                        young[piece] = found
                 ids += found
             out.append(array("I", ids).tobytes())
         return out
@@ -162,7 +161,11 @@ def decode(ids: bytes, bpe: Bpe) -> bytes:
 
 
 def digests(docs: DataFrame, path: str, split: str) -> DataFrame:
-    """doc_id, n_tokens, hashes of the ids in decimal and of what they decode to."""
+    """doc_id, n_tokens, hashes of the ids in decimal and of what they decode to, one row for each row.
+
+    Null texts count as empty: no tokens, hashes of nothing. Repeated rows stay repeated, ids may be
+    null, rows come in no order, and other columns of ``docs`` play no part. A text is encoded in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, split)

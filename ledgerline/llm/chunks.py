@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 #: Everything that some engine counts as white space, but for the space itself.
 _OTHERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if (c.isspace() or c == "\x85") and c != " ")
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-#: Parts that one generation of a memory holds, and the longest part that is remembered.
-MEMORY, LONGEST = 150_000, 48
+#: Parts at which a generation of a memory is full, and the longest part that is remembered.
+MEMORY, LONGEST = 500_000, 48
 #: Texts are encoded in groups of about so many characters.
-GROUP = 2_000_000
+GROUP = 8_000_000
+#: Both for workers that hold other operators' models as well: less memory, more work.
+SMALL_MEMORY, SMALL_GROUP = 100_000, 2_000_000
 
 
 def regular(text: str) -> bool:
@@ -42,18 +44,10 @@ class Memory:
     def __init__(self, size: int = MEMORY):
         self.size, self.young, self.old = size, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) > LONGEST:
-            return
+    def turn(self) -> None:
+        """Close the young generation if it is full. Between calls it grows by what one group of texts has."""
         if len(self.young) >= self.size:
             self.young, self.old = {}, self.young
-        self.young[key] = value
 
 
 class ChunkEncoder:
@@ -62,10 +56,11 @@ class ChunkEncoder:
     encode_words: the same for parts that have lost the space before them.
     """
 
-    def __init__(self, encode_parts: Callable[[list[str]], Sequence[bytes]], encode_words: Callable[[list[str]], Sequence[bytes]] | None = None):
+    def __init__(self, encode_parts: Callable[[list[str]], Sequence[bytes]], encode_words: Callable[[list[str]], Sequence[bytes]] | None = None, small: bool = False):
         self.encode_parts = encode_parts
+        self.group = SMALL_GROUP if small else GROUP
         self.encode_words = encode_words or (lambda words: encode_parts([" " + x for x in words]))
-        self.seen = Memory()
+        self.seen = Memory(SMALL_MEMORY if small else MEMORY)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -74,7 +69,7 @@ class ChunkEncoder:
         for text in texts:
             group.append(text or "")
             size += len(group[-1])
-            if size > GROUP:
+            if size > self.group:
                 out += self._group(group)
                 group, size = [], 0
         out += self._group(group) if group else []
@@ -104,12 +99,17 @@ class ChunkEncoder:
         return [out[i:j].tobytes() for i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        codes: list = list(map(self.seen.young.get, words))
+        self.seen.turn()
+        young, old = self.seen.young, self.seen.old
+        codes: list = list(map(young.get, words))
         open_ = [i for i, code in enumerate(codes) if code is None]
-        for i in open_:
-            codes[i] = self.seen.get(words[i])
-        open_ = [i for i in open_ if codes[i] is None]
-        for i, code in zip(open_, self.encode_words([words[i] for i in open_]), strict=True):
+        names = [words[i] for i in open_]
+        found = list(map(old.get, names))
+        made = iter(self.encode_words([word for word, code in zip(names, found, strict=True) if code is None]))
+        for i, word, code in zip(open_, names, found, strict=True):
+            if code is None:
+                code = next(made)
             codes[i] = code
-            self.seen.put(words[i], code)
+            if len(word) <= LONGEST:
+                young[word] = code
         return codes

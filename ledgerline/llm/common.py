@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import drop_stored, stored, visible, work_dir
+from ledgerline.functions.session import BROADCAST_ROWS, drop_stored, small_or_shuffled, stored, visible, work_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "drop_stored", "fold", "sampled", "small_or_shuffled", "stored", "table", "visible", "work_dir"]
-
-#: One or more characters that are none of space, tab, \n, \v, \f, \r.
-WORD = r"[^\x20\x09-\x0D]+"
-#: Side tables larger than this are joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
-
-
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``limit`` rows at most, else as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+__all__ = ["BROADCAST_ROWS", "drop_stored", "fold", "sampled", "small_or_shuffled", "stored", "table", "visible", "work_dir"]
 
 
 def fold(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.chunks import MEMORY, ChunkEncoder, Memory
+from ledgerline.llm.chunks import LONGEST, MEMORY, SMALL_MEMORY, ChunkEncoder, Memory
 from ledgerline.llm.common import small_or_shuffled, stored, table
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -151,11 +151,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def words_encoder(path: str):
+def words_encoder(path: str, size: int = MEMORY):
     """Ids of words that stand after a space. The library's model takes a word of letters as one piece, and a tail of marks as another; all else goes through its whole tokenizer."""
     whole, tokenize = parts_encoder(path), load(path).model.tokenize
     letters, marks = _byte_letters(), "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-    cores, tails = Memory(MEMORY // 3), Memory(MEMORY // 30)
+    cores, tails = Memory(size // 3), Memory(size // 30)
 
     def piece(text: str) -> bytes:
         if not text.isascii():
@@ -164,21 +164,25 @@ def words_encoder(path: str):
 
     def run(words: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
+        cores.turn()
+        tails.turn()
+        young, old, ends, old_ends = cores.young, cores.old, tails.young, tails.old
         for word in words:
             core = word if word.isalpha() else word.rstrip(marks)
             if not core.isalpha():
                 out.append(None)
                 continue
-            code = cores.get(core)
-            if code is None:
+            code = young.get(core)
+            if code is None and (code := old.get(core)) is None:
                 code = array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() if core.isascii() else piece(" " + core)
-                cores.put(core, code)
+            if len(core) <= LONGEST:
+                young[core] = code
             if len(core) < len(word):
                 tail = word[len(core) :]
-                end = tails.get(tail)
-                if end is None:
+                end = ends.get(tail)
+                if end is None and (end := old_ends.get(tail)) is None:
                     end = piece(tail)
-                    tails.put(tail, end)
+                ends[tail] = end
                 code += end
             out.append(code)
         rest = [i for i, code in enumerate(out) if code is None]
@@ -189,15 +193,16 @@ def words_encoder(path: str):
     return run
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """Whole texts -> ids, as the tokenizers library gives them without added special tokens."""
-    return ChunkEncoder(parts_encoder(path), words_encoder(path))
+def encoder(path: str, small: bool = False) -> ChunkEncoder:
+    """Whole texts -> ids, as the tokenizers library gives them without added special tokens. small: with little memory for parts seen before."""
+    return ChunkEncoder(parts_encoder(path), words_encoder(path, SMALL_MEMORY if small else MEMORY), small)
 
 
 def shards(docs: DataFrame, path: str, *, end: int = END) -> DataFrame:
     """(part, shard, n_docs, n_tokens, payload): all documents in ascending (doc_id, text) order, nulls first.
 
-    Order over the parts and shards is the order of the documents. Null and empty texts have the end id only.
+    Order over the parts and shards is the order of the documents. Null and empty texts have the end
+    id only. Repeated rows stay repeated; other columns play no part. An empty table gives no shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,11 +113,11 @@ def pack(lengths: DataFrame, *, budget: int = BUDGET, buckets: int = BUCKETS) ->
     )
 
 
-def token_lengths(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, key) of every row: tokens of the whole text by the tokenizer at ``path``, 0 for null and empty texts."""
+def token_lengths(docs: DataFrame, path: str, small: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, key) of every row: tokens of the whole text by the tokenizer at ``path``, 0 for null and empty texts. small: the encoder takes less memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = dac.encoder(path)
+        encoder = dac.encoder(path, small)
         for batch in batches:
             sizes = [len(x) // 4 for x in encoder.encode(batch.column(2).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1)], ["doc_id", "n_tokens", "key"])
@@ -127,13 +127,13 @@ def token_lengths(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, key long")
 
 
-def pack_documents(docs: DataFrame, *, path: str | None = None, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+def pack_documents(docs: DataFrame, *, path: str | None = None, small: bool = False, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
     """Pack whole texts by their numbers of tokens; ``path``: tokenizer file, the one of the token files by default."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(dac.VOCABULARY)
-    return pack(stored(token_lengths(docs, path), "lengths"), budget=budget, buckets=buckets)
+    return pack(stored(token_lengths(docs, path, small), "lengths"), budget=budget, buckets=buckets)
 
 
 def op1_packing(spark, sf_dir):

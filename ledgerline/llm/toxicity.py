@@ -33,7 +33,8 @@ STEM, FUZZY_FROM = (4, 5, 6, 7, 8), 5
 PRECISION = 0.95
 #: Words on either side of a hit that its context has.
 WINDOW = 6
-CACHE = 300_000
+#: Tokens that one of the two generations of a matcher's memory holds.
+CACHE = 100_000
 #: Words that report speech, and words that address the reader, in the corpus's four languages.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term terms slur insult sagte schrieb nannte wort zitat dit écrit appelé mot citation dijo escribió llamó palabra cita".split())
 ADDRESS = frozenset("you your yourself du dich dir dein ihr euch tu toi ton vous votre tú ti eres usted".split())
@@ -102,6 +103,7 @@ class Matcher:
 
     model: Model
     seen: dict[str, tuple[str, int] | None] = field(default_factory=dict)
+    before: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         stems = [t for t, stem in self.model.terms.items() if stem]
@@ -142,11 +144,11 @@ class Matcher:
     def hits(self, text: str | None) -> list[tuple[str, int, float]]:
         """(term, distance, quoted in 0..1) of each hit of the whole text."""
         tokens = (text or "").lower().split()
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
+        if len(self.seen) > CACHE:
+            self.seen, self.before = {}, self.seen
+        seen, before = self.seen, self.before
         for t in set(tokens).difference(seen):
-            seen[t] = self.token(t)
+            seen[t] = before[t] if t in before else self.token(t)
         at = [i for i, hit in enumerate(map(seen.__getitem__, tokens)) if hit]
         return [(*seen[tokens[i]], quoted(tokens, i)) for i in at]
 
