@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import drop_stored, stored
+from ledgerline.functions.session import drop_stored, small_or_shuffled, stored
 
 _LAST = 2**31 - 1
 
@@ -21,10 +21,11 @@ def inherited(roots: DataFrame, edges: DataFrame) -> DataFrame:
     joined again, so ways don't multiply in a graph whose branches meet.
     """
     start = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.array().cast("array<int>").alias("way"), F.array(F.col("id")).alias("trail"))
+    edges = small_or_shuffled(stored(edges.select(F.col("child").alias("node"), "parent", "k"), "parents"))
     frontier, all_ = stored(start, "frontier"), []
     while not frontier.isEmpty():
         all_.append(frontier)
-        step = frontier.join(edges.select(F.col("child").alias("node"), "parent", "k"), "node").where(~F.array_contains("trail", F.col("parent")))
+        step = frontier.join(edges, "node").where(~F.array_contains("trail", F.col("parent")))
         step = step.select("root", F.col("parent").alias("node"), F.concat("way", F.array("k")).alias("way"), F.concat("trail", F.array("parent")).alias("trail"))
         first = step.groupBy("root", "node").agg(F.min(F.struct("way", "trail")).alias("w"))
         frontier = stored(first.select("root", "node", "w.way", "w.trail"), "frontier")
