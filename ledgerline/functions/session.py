@@ -50,6 +50,25 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: A key with more than this share of all rows is hot; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``side``, which has each key once; how: inner or left. ``rows``: a stored table.
+
+    A small side is broadcast. Else the rows of hot keys, found by a count that is combined before
+    its shuffle, meet those keys' few rows of the side by broadcast, and only the others are shuffled:
+    no task gets more than HOT_SHARE of the rows for one key.
+    """
+    if side.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(side), keys, how)
+    total = rows.count()
+    hot = stored(rows.groupBy(*keys).count().where(F.col("count") > total * HOT_SHARE).select(*keys), "hot")
+    often = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return often.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(side, keys, how))
+
+
 #: Tables that the innermost ``scratch`` deletes at its end.
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 

@@ -189,10 +189,18 @@ def highlight(text: Column, terms: Column) -> Column:
     return F.when(F.size(usable) > 0, F.regexp_replace(escape_html(text), pattern, F.lit("<mark>$1</mark>"))).otherwise(escape_html(text))
 
 
-def inline_code(text: Column) -> Column:
-    """The text as HTML with links and code spans."""
-    linked = F.regexp_replace(escape_html(text), r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')
-    return F.regexp_replace(linked, r"`([^`]+)`", "<code>$1</code>")
+def inline_code(text: Column, base: str | None = None) -> Column:
+    """The text as HTML with links and code spans. base: where links that begin with a slash lead, such as a tag's tree; other relative links keep their label only."""
+    link = lambda href: rf"\[([^\]]+)\]\(({href}[^)\s]*)\)"
+    linked = F.regexp_replace(escape_html(text), link("http"), '<a href="$2">$1</a>')
+    if base is not None:
+        linked = F.regexp_replace(linked, link("/"), F.concat(F.lit('<a href="'), F.lit(base.replace("\\", "\\\\").replace("$", "\\$")), F.lit('$2">$1</a>')))
+    return F.regexp_replace(F.regexp_replace(linked, r"\[([^\]]+)\]\([^)\s]+\)", "$1"), r"`([^`]+)`", "<code>$1</code>")
+
+
+def date_label(iso: Column) -> Column:
+    """A day as "2 Sept 2024"."""
+    return F.replace(F.date_format(F.to_date(F.substring(iso, 1, 10)), "d MMM yyyy"), F.lit(" Sep "), F.lit(" Sept "))
 
 
 def signal_list(first: Column, n: Column) -> Column:

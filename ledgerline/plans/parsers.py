@@ -225,7 +225,8 @@ def text_functions(spark, sf):
         TX.short_id(F.when(k % 2 == 0, "section").otherwise("attribute"), F.concat(F.lit("a/b/c.md#"), n)).alias("place"),
         TX.lead(F.concat(n, F.lit(". Status: [x]"))).alias("lead"),
         TX.highlight(F.concat(F.lit("<"), n), F.array(F.lit("ring"), F.lit("x"))).alias("marked"),
-        TX.inline_code(F.concat(F.lit("`"), n, F.lit("` [l](u)"))).alias("html"),
+        TX.inline_code(F.concat(F.lit("`"), n, F.lit("` [l](http://u) [m](/p?a&b) [x](y)")), "https://h/v$1").alias("html"),
+        TX.date_label(F.concat(F.lit("2024-0"), (k % 9 + 1).cast("string"), F.lit("-03T00:00:00Z"))).alias("day"),
         ranks.shown(ranks.KIND_LABELS, F.when(k % 2 == 0, "field-number-changed").otherwise("other")).alias("kind"),
         ranks.counted(F.when(k % 2 == 0, "field-removed").otherwise("renamed"), k % 3).alias("counted"),
     )
@@ -235,7 +236,7 @@ TEXT_SQL = """WITH p AS (SELECT p_partkey AS k, p_name AS n, lower(p_type) AS t,
 SELECT k, 'the-' || replace(n, ' ', '-') || '-label-more' AS slug, n || ' label code' AS clean, n AS note, CASE WHEN length(n) * 3 <= 20 THEN repeat(n, 3) ELSE left(repeat(n, 3), 19) || '...' END AS short,
   n || ' is `a_b_c` here' AS normal, key || ',x.y' AS names, CASE WHEN k % 2 = 0 THEN 'attribute' END AS type, replace(n, ' ', ',') || ',http' AS terms, k % 3 = 0 AND length(n) >= 0 AS asks,
   regexp_matches(n, 'r.*i') AS within, replace(n, ' ', ',') AS words, t AS namespace, CASE WHEN k % 2 = 0 THEN key ELSE 'metric.' || key END AS signal, CASE WHEN k % 2 = 0 THEN 'v1.2.0' ELSE '2024-01-02' END AS version,
-  CASE WHEN k % 2 = 0 THEN 'b/c.md#' || n ELSE 'a/b/c.md#' || n END AS place, n AS lead, '&lt;' || replace(n, 'ring', '<mark>ring</mark>') AS marked, '<code>' || n || '</code> <a href="u">l</a>' AS html,
+  CASE WHEN k % 2 = 0 THEN 'b/c.md#' || n ELSE 'a/b/c.md#' || n END AS place, n AS lead, '&lt;' || replace(n, 'ring', '<mark>ring</mark>') AS marked, '<code>' || n || '</code> <a href="http://u">l</a> <a href="https://h/v$1/p?a&amp;b">m</a> x' AS html, '3 ' || ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sept'][k % 9 + 1] || ' 2024' AS day,
   CASE WHEN k % 2 = 0 THEN 'renumbered' ELSE 'other' END AS kind, (k % 3) || CASE WHEN k % 2 = 1 THEN ' renamed' WHEN k % 3 = 1 THEN ' field removed' ELSE ' fields removed' END AS counted FROM p"""
 
 # other operators
