@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.session import BROADCAST_ROWS, drop_stored, small_or_shuffled, stored, visible, work_dir
+from ledgerline.functions.session import BROADCAST_ROWS, drop_stored, join_hot, small_or_shuffled, stored, visible, work_dir
 
-__all__ = ["BROADCAST_ROWS", "drop_stored", "fold", "sampled", "small_or_shuffled", "stored", "table", "visible", "work_dir"]
+__all__ = ["BROADCAST_ROWS", "drop_stored", "fold", "join_hot", "sampled", "small_or_shuffled", "stored", "table", "visible", "work_dir"]
 
 
 def fold(doc_id: Column) -> Column:

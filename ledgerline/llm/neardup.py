@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import small_or_shuffled, stored, table
+from ledgerline.llm.common import join_hot, small_or_shuffled, stored, table
 from ledgerline.llm.components import connected_components
 
 COSINE, RECALL, SEED = 0.98, 0.99, 20_240
@@ -305,7 +305,8 @@ def groups(vectors: DataFrame, *, cosine: float = COSINE, recall: float = RECALL
     whole = nodes.select("node", "label", "h1", "h2", "first", "times").join(links, "node", "left").join(component, "node", "left")
     whole = whole.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     whole = stored(whole, "whole")
-    found = rows.where("fine").join(small_or_shuffled(whole), ["label", "h1", "h2"], "left").select("vec_id", "n_links", "component_id")
+    keys = stored(rows.where("fine").select("vec_id", "label", "h1", "h2"), "keys")
+    found = join_hot(keys, whole, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(whole.schema["component_id"].dataType).alias("component_id"))
     component = F.coalesce("component_id", "vec_id")
     both = found.unionByName(alone)

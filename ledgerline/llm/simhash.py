@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_ROWS, small_or_shuffled, stored, table
+from ledgerline.llm.common import BROADCAST_ROWS, join_hot, small_or_shuffled, stored, table
 from ledgerline.llm.components import connected_components
 
 SEED = 42
@@ -247,7 +247,7 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
     linked = linked.join(smallest, "root").select("fp", "component_id")
     whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     whole = stored(whole, "whole")
-    return prints.join(small_or_shuffled(whole, BROADCAST_ROWS), "fp")
+    return join_hot(prints, whole, ["fp"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
