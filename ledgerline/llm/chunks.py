@@ -106,10 +106,10 @@ class ChunkEncoder:
         names = [words[i] for i in open_]
         found = list(map(old.get, names))
         made = iter(self.encode_words([word for word, code in zip(names, found, strict=True) if code is None]))
-        for i, word, code in zip(open_, names, found, strict=True):
-            if code is None:
-                code = next(made)
+        found = [next(made) if code is None else code for code in found]
+        young.update(zip(names, found, strict=True))
+        for word in [word for word in names if len(word) > LONGEST]:
+            del young[word]
+        for i, code in zip(open_, found, strict=True):
             codes[i] = code
-            if len(word) <= LONGEST:
-                young[word] = code
         return codes

@@ -168,23 +168,27 @@ def words_encoder(path: str, size: int = MEMORY):
         tails.turn()
         young, old, ends, old_ends = cores.young, cores.old, tails.young, tails.old
         for word in words:
-            core = word if word.isalpha() else word.rstrip(marks)
+            if word.isalpha():
+                out.append(array("I", [t.id for t in tokenize("\u0120" + word)]).tobytes() if word.isascii() else piece(" " + word))
+                continue
+            core = word.rstrip(marks)
             if not core.isalpha():
                 out.append(None)
                 continue
             code = young.get(core)
-            if code is None and (code := old.get(core)) is None:
-                code = array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() if core.isascii() else piece(" " + core)
-            if len(core) <= LONGEST:
-                young[core] = code
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                end = ends.get(tail)
-                if end is None and (end := old_ends.get(tail)) is None:
+            if code is None:
+                if (code := old.get(core)) is None:
+                    code = array("I", [t.id for t in tokenize("\u0120" + core)]).tobytes() if core.isascii() else piece(" " + core)
+                if len(core) <= LONGEST:
+                    young[core] = code
+            tail = word[len(core) :]
+            end = ends.get(tail)
+            if end is None:
+                if (end := old_ends.get(tail)) is None:
                     end = piece(tail)
-                ends[tail] = end
-                code += end
-            out.append(code)
+                if len(tail) <= LONGEST:
+                    ends[tail] = end
+            out.append(code + end)
         rest = [i for i, code in enumerate(out) if code is None]
         for i, code in zip(rest, whole([" " + words[i] for i in rest]), strict=True):
             out[i] = code
