@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 #: Bounds of the labelled sample, in documents.
 TOXIC_DOCS, CLEAN_DOCS = 3000, 12000
 #: Least hashes of five-word shingles that copies, which count once, have in common.
-COPY_HASHES = 3
+COPY_HASHES = 5
 #: Letters of a stem, and of a whole word from which one edit is allowed.
 STEM, FUZZY_FROM = (4, 5, 6, 7, 8), 5
 #: Share of labelled texts with a term that must be toxic.
@@ -196,12 +196,12 @@ def _counted(rows: DataFrame) -> DataFrame:
 def once(rows: DataFrame) -> DataFrame:
     """(text, y) of labelled rows with copies of one label counted once: the least text of those whose COPY_HASHES least hashes of five-word shingles are equal.
 
-    Texts of different labels never merge, and texts that share a passage, s of their shingles, do so with probability s^COPY_HASHES only.
+    Texts of different labels never merge. A text that shares a passage with others has a hash of its own
+    among its least ones unless nearly all of it is the passage.
     """
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    least = [F.array_min(F.transform("shingles", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(COPY_HASHES)]
     shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, 5)))
-    rows = rows.withColumn("w", words).withColumn("shingles", shingles).select("text", "y", F.array(*least).alias("copy"))
+    rows = rows.withColumn("w", words).select("text", "y", F.slice(F.array_sort(F.array_distinct(shingles)), 1, COPY_HASHES).alias("copy"))
     return rows.groupBy("y", "copy").agg(F.min("text").alias("text")).select("text", "y")
 
 
