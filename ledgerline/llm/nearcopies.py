@@ -1,40 +1,47 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
-
-Candidates are texts that share one of BANDS groups of ROWS least hashes: a pair at similarity s
-shares one with probability 1 - (1 - s^ROWS)^BANDS, 0.99997 at 0.8. Every candidate pair is then
-compared by its whole shingle sets. A fingerprint of 64 bits can't say this: at similarity 0.8 two
-of them differ by about 10 bits and up to 17, where the balls of ``simhash.anchors`` hold nearly
-all anchors.
+"""Near copies by exact Jaccard similarity of five-word shingles; candidates are met at SimHash anchor points.
+
+A set of shingles has TABLES SimHash fingerprints of 46 bits, each under hashes of its own, and the
+two halves of a fingerprint are decoded to words of the binary Golay code as in ``simhash``. There
+few bits differ and balls of a fixed radius lose nothing; at similarity 0.8 two fingerprints differ
+by 7 of 46 bits, and such balls hold nearly all anchors. So a half is decoded softly, by the sums
+whose signs its bits are: a bit that flips has a small sum and weighs little. A set goes to the pairs
+of each half's CHOICES best codewords. Sets at similarity 0.8 share an anchor in 0.29 of the tables
+at least (measured, see ``tests/llm/test_nearcopies.py``), so one of 32 misses a pair in 2 of 100,000
+cases. Of the pairs that meet, those whose fingerprints differ in over SCREEN of NEAR bits go (1 in
+100,000 at 0.8; for sets of crowded anchors also over WIDE_SCREEN of WIDE bits, 1 in a million), and
+every other one is compared by its whole shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import BROADCAST_ROWS, join_hot, small_or_shuffled, stored
 from ledgerline.llm.components import connected_components
-from ledgerline.llm.simhash import SEED, _as_long, _stars, shingle_hashes
+from ledgerline.llm.simhash import _GOLAY_N, _SPREAD, SEED, _as_long, _stars, _syndrome, shingle_hashes
 
 #: Words of a shingle, and least similarity of linked texts.
 SHINGLE, SIMILARITY = 5, Fraction(4, 5)
-#: Groups of least hashes, and hashes of a group.
-BANDS, ROWS = 20, 4
-#: Sets of a band's hash that are compared pair by pair; more are compared in blocks of BLOCK sets, two blocks a task.
+#: Fingerprints of a set, codewords that a half of one goes to, and most bits in which candidates differ among the first NEAR.
+TABLES, CHOICES, SCREEN, NEAR = 32, 2, 44, 128
+#: Most bits in which candidates from crowded anchors differ among the first WIDE; sets of fewer shingles than WIDE_FROM aren't asked, their bits flip more often.
+WIDE_SCREEN, WIDE, WIDE_FROM = 216, 1024, 6
+#: Sets of an anchor that are compared pair by pair; more are compared in blocks of BLOCK sets, two blocks a task.
 FEW, BLOCK = 32, 1024
 #: Rows whose hashes a task holds at a time.
 ROWS_AT_ONCE = 500
-#: Shingles that are hashed or counted together.
-_CHUNK = 2048
-_random = np.random.default_rng(SEED)
-_XOR, _TIMES = (_random.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
+#: Shingles that are counted together, and as many as a byte counts.
+_CHUNK, _BYTE = 2048, 255
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, (TABLES, 1), dtype=np.uint64)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -47,14 +54,46 @@ def set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - 2**63
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """One signed hash a band; none for a text without words."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(shingles), _CHUNK):
-        np.minimum(least, ((shingles[None, i : i + _CHUNK] ^ _XOR) * _TIMES).min(axis=1), out=least)
-    return [xxhash.xxh3_64_intdigest(row.tobytes(), band) - 2**63 for band, row in enumerate(least.reshape(BANDS, ROWS))]
+def sums(shingles: np.ndarray) -> np.ndarray:
+    """For each table and bit, shingles whose hash has the bit minus those whose hash hasn't; a fingerprint's bit is set where it is above zero."""
+    counts = np.zeros((TABLES, 48), dtype=np.int64)
+    for i in range(0, len(shingles), _BYTE):
+        h = shingles[None, i : i + _BYTE] ^ _SALTS
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.add.reduce(_SPREAD[h.view(np.uint8).reshape(TABLES, -1, 8)[:, :, :6]], axis=1).view(np.uint8)
+    return (2 * counts - len(shingles))[:, : 2 * _GOLAY_N]
+
+
+@cache
+def _codewords() -> np.ndarray:
+    """(bit, codeword number): 1 where the bit is set, else -1."""
+    number = np.arange(1 << 12) << 11
+    words = number ^ _syndrome(number)
+    return (2 * (words[None, :] >> np.arange(_GOLAY_N)[:, None] & 1) - 1).astype(np.float32)
+
+
+def anchors(sums_: np.ndarray) -> np.ndarray:
+    """(table, half, choice) codeword numbers: the best by the sums of each half."""
+    scores = sums_.reshape(-1, _GOLAY_N).astype(np.float32) @ _codewords()
+    rows, best = np.arange(len(scores)), []
+    for _ in range(CHOICES):
+        best.append(scores.argmax(axis=1))
+        scores[rows, best[-1]] = -np.inf
+    return np.stack(best, axis=1).astype(np.uint16).reshape(-1, 2, CHOICES)
+
+
+def near_bits(sums_: np.ndarray, bits: int = NEAR) -> list[int]:
+    """The first bits of a set's fingerprints as signed longs."""
+    return np.packbits(sums_.reshape(-1)[:bits] > 0, bitorder="little").view(np.int64).tolist()
+
+
+def places(found: np.ndarray) -> np.ndarray:
+    """One number for each table and pair of codewords, from rows of ``anchors``: (row, place)."""
+    first, second = found[:, :, 0, :, None].astype(np.int64), found[:, :, 1, None, :].astype(np.int64)
+    table = np.arange(found.shape[1])[None, :, None, None]
+    return (table << 24 | first << 12 | second).reshape(len(found), -1)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -83,22 +122,39 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) keys that connect the same sets as all links do. ``prints``: stored, with key, bands and text_hash; ``texts``: text and text_hash."""
-    sets = stored(prints.groupBy("key").agg(F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")), "sets")
-    placed = sets.select("key", F.explode("bands").alias("band"))
-    sizes = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(placed.join(sizes, "band"), "shared")
-    few = shared.where(F.col("n") <= FEW)
-    pairs = few.select("band", F.col("key").alias("a")).join(few.select("band", F.col("key").alias("b")), "band").where("a < b")
-    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    needed = sets.join(shared.select("key").distinct(), "key", "left_semi").select("key", "text_hash")
-    found = texts.join(small_or_shuffled(needed, BROADCAST_ROWS), "text_hash").dropDuplicates(["key"]).select("key", "text")
+    """(a, b) keys that connect the same sets as all links do. ``prints``: stored, with key, anchors, near, further and text_hash; ``texts``: text and text_hash.
+
+    Anchors of many sets are settled first. What they connect needs no further comparison, so a large
+    group of near copies isn't compared once more in all its pairs where few of it meet.
+    """
+    same = [F.first(c).alias(c) for c in ("anchors", "near", "further")]
+    sets = stored(prints.groupBy("key").agg(*same, F.min("text_hash").alias("text_hash")), "sets")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(k, ROWS_AT_ONCE)
+                batch = batch.filter(pc.greater(pc.binary_length(batch.column(3)), 0))
+                if not batch.num_rows:
+                    continue
+                found = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16)
+                at = places(found.reshape(batch.num_rows, TABLES, 2, CHOICES))
+                rest = [pa.array(np.repeat(batch.column(i).to_numpy(), at.shape[1])) for i in range(3)]
+                yield pa.record_batch([pa.array(at.reshape(-1)), *rest], ["band", "key", "near", "further"])
+
+    placed = sets.select("key", "near", "further", "anchors").mapInArrow(place, "band long, key long, near long, further long")
+    shared = stored(placed.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1"), "shared")
+    few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW).select("band", "key", "n")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(1)], pa.binary())], ["key", "shingles"])
 
-    whole = stored(found.mapInArrow(hashed, "key long, shingles binary"), "shingles")
+    def whole(keys: DataFrame) -> DataFrame:
+        needed = sets.join(keys.distinct(), "key", "left_semi").select("key", "text_hash")
+        found = texts.join(small_or_shuffled(needed, BROADCAST_ROWS), "text_hash").dropDuplicates(["key"]).select("key", "text")
+        return stored(found.mapInArrow(hashed, "key long, shingles binary"), "shingles")
+
     of = lambda x: np.frombuffer(x.as_py(), dtype=np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +162,6 @@ def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
             keep = [similar(of(x), of(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(whole.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
-    second = first.join(whole.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
-    paired = second.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
-
     def meet(rows: pa.Table) -> pa.Table:
         keys, block = rows.column("key").to_numpy().view(np.uint64), rows.column("block").to_numpy()
         found = [of(x) for x in rows.column("shingles")]
@@ -120,12 +172,36 @@ def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
         a, b = _stars(keys[left], keys[right], linked)
         return pa.table({"a": _as_long(a), "b": _as_long(b)})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = shared.where(F.col("n") > FEW).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(whole, "key")
-    met = many.groupBy("band", "low", "high").applyInArrow(meet, "a long, b long")
-    return stored(paired.unionByName(met), "links")
+    def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [of(x) for x in batch.column(1)]
+            wide = [near_bits(sums(x), WIDE) if len(x) >= WIDE_FROM else None for x in sets_]
+            yield pa.record_batch([batch.column(0), pa.array(wide, pa.list_(pa.int64()))], ["key", "wide"])
+
+    if many.isEmpty():
+        met = None
+        few = few.select("*", F.col("key").alias("root"), F.lit(None).cast("array<long>").alias("wide"))
+    else:
+        crowd = whole(many.select("key"))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(crowd, "key")
+        met = stored(dealt.groupBy("band", "low", "high").applyInArrow(meet, "a long, b long"), "met")
+        roots = connected_components(met).withColumnRenamed("node", "key")
+        settled = stored(crowd.mapInArrow(widened, "key long, wide array<long>").join(roots, "key", "left"), "settled")
+        few = few.join(small_or_shuffled(settled), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    side = lambda x: few.select("band", F.col("key").alias(x), *[F.col(c).alias(x + c) for c in ("near", "further", "root", "wide")])
+    differ = F.bit_count(F.col("anear").bitwiseXOR(F.col("bnear"))) + F.bit_count(F.col("afurther").bitwiseXOR(F.col("bfurther")))
+    wide = F.aggregate(F.zip_with("awide", "bwide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    apart = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot"))
+    pairs = side("a").join(side("b"), "band").where(apart & (differ <= SCREEN) & (F.coalesce(wide, F.lit(0)) <= WIDE_SCREEN))
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    both = whole(pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
+    first = pairs.join(both.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
+    second = first.join(both.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
+    paired = second.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return stored(paired.unionByName(met) if met else paired, "links")
 
 
 def rooted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -140,14 +216,18 @@ def rooted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(k, ROWS_AT_ONCE)
-                keys, found = [], []
+                keys, found, near = [], [], []
                 for x in batch.column(2):
                     shingles = shingle_set(x.as_py())
+                    total = sums(shingles)
                     keys.append(set_key(shingles))
-                    found.append(bands(shingles))
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "key", "bands"])
+                    found.append(anchors(total).tobytes() if len(shingles) else b"")
+                    near.append(near_bits(total))
+                first, second = zip(*near, strict=True)
+                columns = [pa.array(x, pa.int64()) for x in (keys, first, second)]
+                yield pa.record_batch([batch.column(0), batch.column(1), *columns, pa.array(found, pa.binary())], ["doc_id", "text_hash", "key", "near", "further", "anchors"])
 
-    prints = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, key long, bands array<long>")
+    prints = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, key long, near long, further long, anchors binary")
     prints = stored(prints, "prints")
     roots = connected_components(links(prints, rows.select("text", "text_hash")))
     named = join_hot(prints.select("doc_id", "text_hash", "key"), roots.withColumnRenamed("node", "key"), ["key"], "left")

@@ -73,3 +73,54 @@ def test_border_of_similarity():
 
 def test_op5_keeps_its_constants():
     assert (S.SHINGLE, S.BITS) == (3, 2)
+
+
+def mixed(h, salt):
+    h ^= salt
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def test_fingerprints_and_anchors_equal_their_definition():
+    words = [0]
+    for k in range(12):
+        words += [w ^ S._POLY << k for w in words]
+    assert sorted({(a ^ b).bit_count() for a in words[:64] for b in words}) == [0, 7, 8, 11, 12, 15, 16, 23]
+    for n in (1, 8, 40, 700):
+        found = N.shingle_set(" ".join(f"w{k}" for k in range(n)))
+        total = N.sums(found)
+        for t in (0, N.TABLES - 1):
+            hashes = [mixed(int(h), int(N._SALTS[t, 0])) for h in found]
+            assert total[t].tolist() == [sum(1 if h >> b & 1 else -1 for h in hashes) for b in range(46)]
+            for half in range(2):
+                part = total[t].tolist()[23 * half : 23 * half + 23]
+                score = {w >> 11: sum(x if w >> b & 1 else -x for b, x in enumerate(part)) for w in words}
+                best = N.anchors(total)[t, half].tolist()
+                assert [score[c] for c in best] == sorted(score.values(), reverse=True)[: N.CHOICES] and len(set(best)) == N.CHOICES
+        bits = [x > 0 for x in total.reshape(-1)[: N.NEAR]]
+        assert N.near_bits(total) == N.np.packbits(bits, bitorder="little").view("int64").tolist()
+
+
+def test_sets_at_the_border_meet():
+    rng = N.np.random.default_rng(8)
+    for left, right, both in ((5, 4, 4), (9, 9, 8), (10, 8, 8), (27, 27, 24), (90, 90, 80), (450, 450, 400)):
+        tables = missed = 0
+        for _ in range(200):
+            every = rng.integers(0, 2**64, left + right - both, dtype="uint64")
+            a, b = N.sums(every[:left]), N.sums(every[left - both :])
+            assert both / len(every) >= 0.8
+            x, y = (N.places(N.anchors(s)[None])[0].reshape(N.TABLES, -1) for s in (a, b))
+            shared = sum(bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+            differ, wide = (sum(((p ^ q) % 2**64).bit_count() for p, q in zip(N.near_bits(a, n), N.near_bits(b, n), strict=True)) for n in (N.NEAR, N.WIDE))
+            tables, missed = tables + shared, missed + (not shared or differ > N.SCREEN or min(left, right) >= N.WIDE_FROM and wide > N.WIDE_SCREEN)
+        assert tables / 200 / N.TABLES > 0.27 and not missed
+
+
+def test_only_sets_with_close_fingerprints_are_compared(spark, monkeypatch):
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-1], "edit"]), " ".join(words), "other words stand here alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in S.dedup(docs).collect()} == {0, 3}
+    monkeypatch.setattr(N, "SCREEN", -1)
+    assert {r.doc_id for r in S.dedup(docs).collect()} == {0, 1, 3}
