@@ -10,6 +10,12 @@ at least (measured, see ``tests/llm/test_nearcopies.py``), so one of 32 misses a
 cases. Of the pairs that meet, those whose fingerprints differ in over SCREEN of NEAR bits go (1 in
 100,000 at 0.8; for sets of crowded anchors also over WIDE_SCREEN of WIDE bits, 1 in a million), and
 every other one is compared by its whole shingle sets.
+
+Sets a little below 0.8 to each other, such as copies of one text that differ each in another place,
+meet in pairs whose number grows with the square of their group. So sets that meet others often have
+the parities of their shingles' hash counts compared first, which is a bound and loses no link: what
+two sets have in common changes both alike, so they differ in no more parities than they have shingles
+apart. Each other set meets ``often`` sets at most, and crowded anchors pass on one edge a set.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ TABLES, CHOICES, SCREEN, NEAR = 32, 2, 44, 128
 WIDE_SCREEN, WIDE, WIDE_FROM = 216, 1024, 6
 #: Sets of an anchor that are compared pair by pair; more are compared in blocks of BLOCK sets, two blocks a task.
 FEW, BLOCK = 32, 1024
+#: Least and most bits of parities: two to four a shingle between them. Most sets whose parities are broadcast, 20 MB.
+ODD_LEAST, ODD_MOST, ODD_ROWS = 64, 8192, 20_000
 #: Rows whose hashes a task holds at a time.
 ROWS_AT_ONCE = 500
 #: Shingles that are counted together, and as many as a byte counts.
@@ -89,6 +97,31 @@ def near_bits(sums_: np.ndarray, bits: int = NEAR) -> list[int]:
     return np.packbits(sums_.reshape(-1)[:bits] > 0, bitorder="little").view(np.int64).tolist()
 
 
+def odd_bits(shingles: np.ndarray) -> list[int]:
+    """For each value of the hashes' low bits, is it found an odd number of times? As signed longs; halves of twice as many bits fold to these by exclusive or."""
+    n = min(max(ODD_LEAST, 1 << (2 * len(shingles) - 1).bit_length()), ODD_MOST)
+    counts = np.bincount((shingles & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64).tolist()
+
+
+def can_be_similar(a: str, b: str) -> Column:
+    """False only where sizes or parities (columns <a>size, <a>odd) show that two sets aren't similar; true where one has no parities.
+
+    Sizes that can be similar are close, so there one side has twice the other's parities at most.
+    """
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(x: str, y: str) -> Column:
+        odd, n = F.col(x + "odd"), F.size(y + "odd")
+        return F.when(F.size(odd) > n, F.zip_with(F.slice(odd, 1, n), F.slice(odd, n + 1, n), xor)).otherwise(odd)
+
+    apart = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
+    sizes = [F.col(x + "size") for x in (a, b)]
+    up, down = SIMILARITY.numerator, SIMILARITY.denominator
+    close = F.greatest(*sizes) * up <= F.least(*sizes) * down
+    return F.when(F.col(a + "odd").isNull() | F.col(b + "odd").isNull(), True).otherwise(close & (apart * (down + up) <= (sizes[0] + sizes[1]) * (down - up)))
+
+
 def places(found: np.ndarray) -> np.ndarray:
     """One number for each table and pair of codewords, from rows of ``anchors``: (row, place)."""
     first, second = found[:, :, 0, :, None].astype(np.int64), found[:, :, 1, None, :].astype(np.int64)
@@ -121,13 +154,20 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return both * SIMILARITY.denominator >= SIMILARITY.numerator * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
+def often(sets: int) -> float:
+    """Meetings of a set among so many sets, above which its candidates are asked for their parities: one a place, and twice those that chance brings."""
+    by_chance = sets * CHOICES**2 / 2**24
+    return TABLES * CHOICES**2 * (1 + 2 * by_chance)
+
+
 def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) keys that connect the same sets as all links do. ``prints``: stored, with key, anchors, near, further and text_hash; ``texts``: text and text_hash.
+    """(a, b) keys that connect the same sets as all links do. ``prints``: stored, with key, anchors, near, further, odd, size and text_hash; ``texts``: text and text_hash.
 
     Anchors of many sets are settled first. What they connect needs no further comparison, so a large
     group of near copies isn't compared once more in all its pairs where few of it meet.
+    Edges of what they connect are one for each set, to its root.
     """
-    same = [F.first(c).alias(c) for c in ("anchors", "near", "further")]
+    same = [F.first(c).alias(c) for c in ("anchors", "near", "further", "odd", "size")]
     sets = stored(prints.groupBy("key").agg(*same, F.min("text_hash").alias("text_hash")), "sets")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +209,7 @@ def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
         right = np.flatnonzero(block == block.max())
         linked = similar_pairs([found[i] for i in left], [found[i] for i in right])
         linked &= keys[left][:, None] != keys[right][None, :]
-        a, b = _stars(keys[left], keys[right], linked)
+        a, b = _stars(keys[left], keys[right], linked, direct=0)
         return pa.table({"a": _as_long(a), "b": _as_long(b)})
 
     def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +218,11 @@ def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
             wide = [near_bits(sums(x), WIDE) if len(x) >= WIDE_FROM else None for x in sets_]
             yield pa.record_batch([batch.column(0), pa.array(wide, pa.list_(pa.int64()))], ["key", "wide"])
 
+    busy = few.groupBy("key").agg(F.sum(F.col("n") - 1).alias("m")).where(F.col("m") > often(sets.count()))
+    odd = stored(sets.join(small_or_shuffled(stored(busy.select("key"), "busy")), "key").select("key", "size", "odd"), "odd")
+    few = few.join(small_or_shuffled(odd, ODD_ROWS), "key", "left")
     if many.isEmpty():
-        met = None
+        roots = None
         few = few.select("*", F.col("key").alias("root"), F.lit(None).cast("array<long>").alias("wide"))
     else:
         crowd = whole(many.select("key"))
@@ -188,20 +231,20 @@ def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(crowd, "key")
         met = stored(dealt.groupBy("band", "low", "high").applyInArrow(meet, "a long, b long"), "met")
-        roots = connected_components(met).withColumnRenamed("node", "key")
-        settled = stored(crowd.mapInArrow(widened, "key long, wide array<long>").join(roots, "key", "left"), "settled")
+        roots = connected_components(met)
+        settled = stored(crowd.mapInArrow(widened, "key long, wide array<long>").join(roots.withColumnRenamed("node", "key"), "key", "left"), "settled")
         few = few.join(small_or_shuffled(settled), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    side = lambda x: few.select("band", F.col("key").alias(x), *[F.col(c).alias(x + c) for c in ("near", "further", "root", "wide")])
+    side = lambda x: few.select("band", F.col("key").alias(x), *[F.col(c).alias(x + c) for c in ("near", "further", "root", "wide", "size", "odd")])
     differ = F.bit_count(F.col("anear").bitwiseXOR(F.col("bnear"))) + F.bit_count(F.col("afurther").bitwiseXOR(F.col("bfurther")))
     wide = F.aggregate(F.zip_with("awide", "bwide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     apart = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot"))
-    pairs = side("a").join(side("b"), "band").where(apart & (differ <= SCREEN) & (F.coalesce(wide, F.lit(0)) <= WIDE_SCREEN))
+    pairs = side("a").join(side("b"), "band").where(apart & (differ <= SCREEN) & (F.coalesce(wide, F.lit(0)) <= WIDE_SCREEN) & can_be_similar("a", "b"))
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     both = whole(pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
     first = pairs.join(both.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
     second = first.join(both.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b")
     paired = second.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
-    return stored(paired.unionByName(met) if met else paired, "links")
+    return stored(paired.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))) if roots else paired, "links")
 
 
 def rooted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -216,18 +259,21 @@ def rooted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(k, ROWS_AT_ONCE)
-                keys, found, near = [], [], []
+                keys, found, near, odd, sizes = [], [], [], [], []
                 for x in batch.column(2):
                     shingles = shingle_set(x.as_py())
                     total = sums(shingles)
                     keys.append(set_key(shingles))
                     found.append(anchors(total).tobytes() if len(shingles) else b"")
                     near.append(near_bits(total))
+                    odd.append(odd_bits(shingles))
+                    sizes.append(len(shingles))
                 first, second = zip(*near, strict=True)
-                columns = [pa.array(x, pa.int64()) for x in (keys, first, second)]
-                yield pa.record_batch([batch.column(0), batch.column(1), *columns, pa.array(found, pa.binary())], ["doc_id", "text_hash", "key", "near", "further", "anchors"])
+                columns = [pa.array(x, pa.int64()) for x in (keys, first, second, sizes)]
+                columns += [pa.array(odd, pa.list_(pa.int64())), pa.array(found, pa.binary())]
+                yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "key", "near", "further", "size", "odd", "anchors"])
 
-    prints = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, key long, near long, further long, anchors binary")
+    prints = rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, key long, near long, further long, size long, odd array<long>, anchors binary")
     prints = stored(prints, "prints")
     roots = connected_components(links(prints, rows.select("text", "text_hash")))
     named = join_hot(prints.select("doc_id", "text_hash", "key"), roots.withColumnRenamed("node", "key"), ["key"], "left")

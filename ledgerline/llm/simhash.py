@@ -137,10 +137,10 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _stars(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what ``linked`` (left x right) connects: the links themselves if they are few, else a star for each connected part."""
+def _stars(left: np.ndarray, right: np.ndarray, linked: np.ndarray, direct: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what ``linked`` (left x right) connects: the links themselves if they are few, ``direct`` a row at most, else a star for each connected part."""
     rows, cols = np.nonzero(linked)
-    if len(rows) <= 4 * (len(left) + len(right)):
+    if len(rows) <= direct * (len(left) + len(right)):
         return left[rows], right[cols]
     a, b = [], []
     open_left = linked.any(axis=1)

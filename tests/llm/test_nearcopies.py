@@ -124,3 +124,34 @@ def test_only_sets_with_close_fingerprints_are_compared(spark, monkeypatch):
     assert {r.doc_id for r in S.dedup(docs).collect()} == {0, 3}
     monkeypatch.setattr(N, "SCREEN", -1)
     assert {r.doc_id for r in S.dedup(docs).collect()} == {0, 1, 3}
+
+
+def test_parities_are_a_bound(spark):
+    rng = N.np.random.default_rng(9)
+    rows = []
+    for left, right, both in ((1, 1, 1), (1, 1, 0), (4, 5, 4), (9, 9, 8), (9, 10, 8), (33, 32, 29), (32, 33, 27), (70, 60, 58), (450, 450, 400), (450, 450, 350), (9000, 9000, 8001), (1200, 1000, 999)):
+        for _ in range(20):
+            every = rng.integers(0, 2**64, left + right - both, dtype="uint64")
+            a, b = every[:left], every[left - both :]
+            rows += [(len(a), N.odd_bits(a), len(b), N.odd_bits(b), 9 * both >= 4 * (left + right)), (len(a), N.odd_bits(a), len(b), None, None)]
+    found = spark.createDataFrame(rows, "asize long, aodd array<long>, bsize long, bodd array<long>, alike boolean").withColumn("can", N.can_be_similar("a", "b")).collect()
+    assert all(r.can for r in found if r.alike is not False)
+    assert not any(r.can for r in found if r.alike is False and r.asize == 450)
+    assert [len(N.odd_bits(N.np.arange(n, dtype="uint64"))) for n in (1, 32, 33, 64, 65, 9000)] == [1, 1, 2, 2, 4, 128]
+
+
+def test_group_below_the_border_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, 6)) for _ in range(120)] + [" ".join(f"x{rng.randrange(9)}" for _ in range(40)) for _ in range(20)]
+    made = {}
+
+    def counted(df, name, keep=False, real=N.stored):
+        back = real(df, name, keep)
+        made[name] = back.count()
+        return back
+
+    monkeypatch.setattr(N, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in S.dedup(docs).collect()} == kept_by_brute_force(texts)
+    assert made["pairs"] <= 4 * len(texts) and made["links"] <= 4 * len(texts)
