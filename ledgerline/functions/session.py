@@ -45,9 +45,14 @@ def work_dir(spark: SparkSession) -> str:
 BROADCAST_ROWS = 200_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle and sort. Without the hint Spark goes by the size of compressed files and sends tables of millions of short rows through the driver."""
+    return df.hint("merge")
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has ``limit`` rows at most, else as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` with a broadcast hint if it has ``limit`` rows at most, else ``shuffled``."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else shuffled(df)
 
 
 #: A key with more than this share of all rows is hot; there are fewer of them than its inverse.
