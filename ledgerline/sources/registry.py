@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import GROUP_TYPES
+from ledgerline.functions.session import stored
 from ledgerline.functions.text import namespace
 from ledgerline.operators.changes import last_wins
 from ledgerline.operators.closure import inherited
@@ -114,13 +115,21 @@ def read_model(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.split_part("path", base, F.lit(-1)).alias("path"), "content")
 
 
+#: Files whose groups are one batch of a task.
+BATCH = 200
+
+
 def groups(files: DataFrame) -> DataFrame:
-    """Groups of all files, with an ordinal in file and place order. YAML is read by PyYAML, a file at a time."""
+    """Groups of all files, with an ordinal in file and place order. YAML is read by PyYAML, a file at a time.
+
+    Files are dealt out first, since thousands of short ones may come in one partition, and what
+    was parsed is stored, since everything below reads it several times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
 
-        class Core(yaml.SafeLoader):
+        class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
             """Scalars as YAML 1.2 has them: on, off, yes, no and dates are strings."""
 
         kept = lambda tag: tag not in ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")
@@ -128,10 +137,14 @@ def groups(files: DataFrame) -> DataFrame:
         Core.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
 
         for batch in batches:
-            rows = [g for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for g in groups_of(path, yaml.load(content, Core))]
-            yield pa.RecordBatch.from_pylist(rows, _GROUP)
-
-    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, GROUP)
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                rows = [g for path, content in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True) for g in groups_of(path, yaml.load(content, Core))]
+                yield pa.RecordBatch.from_pylist(rows, _GROUP)
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("path", F.col("content").cast("binary").alias("content")).repartition(n, "path")
+    return stored(dealt.mapInArrow(run, GROUP), "groups")
 
 
 def attributes(found: DataFrame) -> DataFrame:
