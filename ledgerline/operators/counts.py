@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import is_binding
-from ledgerline.functions.text import version_key
+from ledgerline.functions.text import version_key, whole
 from ledgerline.operators.catalog import consecutive_pairs, recent
 
 
@@ -53,7 +53,7 @@ def largest(rows: DataFrame, by: str) -> DataFrame:
 
 def rules_about(requirements: DataFrame, word: str) -> DataFrame:
     """MUST and MUST NOT requirements whose text has a word."""
-    return requirements.where(F.col("text").rlike(rf"(?i)\b{word}\b") & F.col("level").startswith("MUST"))
+    return requirements.where(F.col("text").rlike("(?i)" + whole(word)) & F.col("level").startswith("MUST"))
 
 
 def shallow_renames(attributes: DataFrame, namespace: str, most: int = 4) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import DEMAND_ORDER, is_binding, place
-from ledgerline.functions.text import namespace, signal_key
+from ledgerline.functions.session import small_or_shuffled
+from ledgerline.functions.text import namespace, signal_key, whole
 from ledgerline.operators.registry import strongest_levels
 
 
@@ -59,7 +60,7 @@ def level_weight(level: Column) -> Column:
 
 
 def keyword_pattern(keywords: list[str]) -> str:
-    return r"(?i)\b(?:" + "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", k) for k in keywords) + r")\b"
+    return "(?i)(?:" + "|".join(whole(k, re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", k)) for k in keywords) + ")"
 
 
 def topic_requirements(requirements: DataFrame, keywords: list[str], *, excluded: str | None = None, own: str | None = None) -> DataFrame:
@@ -95,9 +96,9 @@ def usage_by_kind(edges: DataFrame) -> DataFrame:
 
 
 def packages(messages: DataFrame, order: DataFrame) -> DataFrame:
-    """Messages of listed packages (package, ordinal), in the packages' order. Every dotted prefix of a name is an equi-join key."""
+    """Messages of listed packages (package, ordinal), in the packages' order. Every dotted prefix of a name is an equi-join key; packages are few, and a shuffle by them would leave tasks as few."""
     parts = F.split("name", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    rows = messages.where(F.size(parts) > 1).select("name", F.explode(prefixes).alias("package")).join(order, "package")
+    rows = messages.where(F.size(parts) > 1).select("name", F.explode(prefixes).alias("package")).join(small_or_shuffled(order), "package")
     best = rows.groupBy("name").agg(F.min(F.struct("ordinal", "package")).alias("p"))
     return best.select("name", "p.package", "p.ordinal").orderBy("ordinal", F.expr("name COLLATE UNICODE"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranks import LEVELS
-from ledgerline.functions.text import CODE, EMPHASIS, LINK, level, normal, slug, statement_id, status, strip_noise
+from ledgerline.functions.text import CODE, EMPHASIS, LINK, level, normal, slug, statement_id, status, strip_noise, whole
 
 # What ends a block, a list marker, and where a sentence may end.
 _BLOCK = re.compile(r"\n\s*\n|\n(?=\s*[-*+]\s)|\n(?=\s*\d+\.\s)")
@@ -77,7 +77,7 @@ def statements(body: str, plain, levels: list[str] = LEVELS) -> list[tuple[str,
     colon takes in the deeper items below it, except those with a keyword of their own and what is
     below these. plain: block text without mark-up.
     """
-    tests = [(x, re.compile(r"\b" + x.replace(" ", r"\s+") + r"\b")) for x in levels]
+    tests = [(x, re.compile(whole(x, x.replace(" ", r"\s+")))) for x in levels]
     find = lambda s: next((x for x, p in tests if p.search(s)), None)
     blocks = []
     for raw in _BLOCK.split(body):
